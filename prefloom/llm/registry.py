@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from prefloom.llm import copies
+from prefloom.llm import copies, grouped_splits
 from prefloom.sources.tables import table
 
 
@@ -15,5 +15,14 @@ def p4_collapsed(spark, d):
     return copies.collapse(table(spark, d, "raw"), "row_no", "instruction").selectExpr("first as first_row_no", "n as copies")
 
 
-QUERIES = {"p4_found": p4_found, "p4_collapsed": p4_collapsed}
+def p6_found(spark, d):
+    return grouped_splits.separated(table(spark, d, "dpo_pairs"), table(spark, d, "raw"))
+
+
+def p6_assigned(spark, d):
+    """The new split of every linked group."""
+    return grouped_splits.assign(table(spark, d, "dpo_pairs"), table(spark, d, "raw"))
+
+
+QUERIES = {"p4_found": p4_found, "p4_collapsed": p4_collapsed, "p6_found": p6_found, "p6_assigned": p6_assigned}
 SQL: dict[str, str] = {}

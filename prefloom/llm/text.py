@@ -36,7 +36,8 @@ def fields(text: str) -> list[tuple[str, str]] | None:
     """Name and value of each field if the text consists of two or more named fields, in any layout; else None.
 
     JSON objects of plain values, and ``name: value`` (or ``=``) parts divided by line ends, ``;``, ``|``, slashes, commas or
-    full stops, with bullets, quotes or emphasis. A part without a name continues the value before it.
+    full stops, with bullets, quotes or emphasis. A part without a name continues the value before it; then
+    three fields are needed, since two sentences with a colon are prose.
     """
     if ":" not in text and "=" not in text:
         return None
@@ -49,15 +50,17 @@ def fields(text: str) -> list[tuple[str, str]] | None:
         if isinstance(parsed, dict) and len(parsed) > 1 and all(not isinstance(v, (dict, list)) for v in parsed.values()):
             return [(str(k), "" if v is None else str(v)) for k, v in parsed.items()]
     found: list[list[str]] = []
+    loose = False
     for part in _CUT.split(body):
         m = _FIELD.match(part)
         if m:
             found.append([m[1], part[m.end():]])
         elif found:
             found[-1][1] += " " + part
+            loose = loose or bool(content(part))
         elif content(part):
             return None
-    return [(a, b) for a, b in found] if len(found) > 1 else None
+    return [(a, b) for a, b in found] if len(found) > 1 + loose else None
 
 
 def canonical(text: str | None) -> str:
