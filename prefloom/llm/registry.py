@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from prefloom.llm import copies, grouped_splits
+from prefloom.llm import copies, cross_split, grouped_splits
 from prefloom.sources.tables import table
 
 
@@ -15,6 +15,15 @@ def p4_collapsed(spark, d):
     return copies.collapse(table(spark, d, "raw"), "row_no", "instruction").selectExpr("first as first_row_no", "n as copies")
 
 
+def p5_found(spark, d):
+    return cross_split.pairs_found(table(spark, d, "dpo_pairs"))
+
+
+def p5_report(spark, d):
+    """Overlaps per split and source."""
+    return cross_split.report(table(spark, d, "dpo_pairs"), table(spark, d, "raw"))
+
+
 def p6_found(spark, d):
     return grouped_splits.separated(table(spark, d, "dpo_pairs"), table(spark, d, "raw"))
 
@@ -24,5 +33,5 @@ def p6_assigned(spark, d):
     return grouped_splits.assign(table(spark, d, "dpo_pairs"), table(spark, d, "raw"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_collapsed": p4_collapsed, "p6_found": p6_found, "p6_assigned": p6_assigned}
+QUERIES = {"p4_found": p4_found, "p4_collapsed": p4_collapsed, "p5_found": p5_found, "p5_report": p5_report, "p6_found": p6_found, "p6_assigned": p6_assigned}
 SQL: dict[str, str] = {}
