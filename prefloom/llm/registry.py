@@ -2,10 +2,22 @@
 
 from __future__ import annotations
 
-from prefloom.llm import copies, cross_split, grouped_splits
+from prefloom.llm import consensus, copies, cross_split, grouped_splits
 from prefloom.sources.tables import table
 
 
+def p1_found(spark, d):
+    return consensus.found(table(spark, d, "evaluations"))
+
+
+def p1_agreement(spark, d):
+    return consensus.agreement(table(spark, d, "evaluations"))
+
+
+def p1_reliability(spark, d):
+    return consensus.reliability(table(spark, d, "evaluations"))
+
+
 def p4_found(spark, d):
     return copies.copies_found(table(spark, d, "raw"))
 
@@ -33,5 +45,5 @@ def p6_assigned(spark, d):
     return grouped_splits.assign(table(spark, d, "dpo_pairs"), table(spark, d, "raw"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_collapsed": p4_collapsed, "p5_found": p5_found, "p5_report": p5_report, "p6_found": p6_found, "p6_assigned": p6_assigned}
+QUERIES = {"p1_found": p1_found, "p1_agreement": p1_agreement, "p1_reliability": p1_reliability, "p4_found": p4_found, "p4_collapsed": p4_collapsed, "p5_found": p5_found, "p5_report": p5_report, "p6_found": p6_found, "p6_assigned": p6_assigned}
 SQL: dict[str, str] = {}
