@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from prefloom.llm import consensus, copies, cross_split, grouped_splits
+from prefloom.llm import answers, consensus, copies, cross_split, grouped_splits
 from prefloom.sources.tables import table
 
 
@@ -18,6 +18,15 @@ def p1_reliability(spark, d):
     return consensus.reliability(table(spark, d, "evaluations"))
 
 
+def p2_found(spark, d):
+    return answers.found(table(spark, d, "raw"), table(spark, d, "dpo_pairs"))
+
+
+def p2_all_defects(spark, d):
+    """Counts of every triggered defect by origin and slot."""
+    return answers.defects(answers.answers(table(spark, d, "raw"), table(spark, d, "dpo_pairs"))).distinct().groupBy("origin", "slot", "defect").count()
+
+
 def p4_found(spark, d):
     return copies.copies_found(table(spark, d, "raw"))
 
@@ -45,5 +54,5 @@ def p6_assigned(spark, d):
     return grouped_splits.assign(table(spark, d, "dpo_pairs"), table(spark, d, "raw"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_agreement": p1_agreement, "p1_reliability": p1_reliability, "p4_found": p4_found, "p4_collapsed": p4_collapsed, "p5_found": p5_found, "p5_report": p5_report, "p6_found": p6_found, "p6_assigned": p6_assigned}
+QUERIES = {"p1_found": p1_found, "p1_agreement": p1_agreement, "p1_reliability": p1_reliability, "p2_found": p2_found, "p2_all_defects": p2_all_defects, "p4_found": p4_found, "p4_collapsed": p4_collapsed, "p5_found": p5_found, "p5_report": p5_report, "p6_found": p6_found, "p6_assigned": p6_assigned}
 SQL: dict[str, str] = {}
