@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from prefloom.llm import answers, consensus, copies, cross_split, grouped_splits
+from prefloom.llm import answers, consensus, copies, cross_split, grouped_splits, pii
 from prefloom.sources.tables import table
 
 
@@ -54,5 +54,14 @@ def p6_assigned(spark, d):
     return grouped_splits.assign(table(spark, d, "dpo_pairs"), table(spark, d, "raw"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_agreement": p1_agreement, "p1_reliability": p1_reliability, "p2_found": p2_found, "p2_all_defects": p2_all_defects, "p4_found": p4_found, "p4_collapsed": p4_collapsed, "p5_found": p5_found, "p5_report": p5_report, "p6_found": p6_found, "p6_assigned": p6_assigned}
+def p9_found(spark, d):
+    return pii.found(table(spark, d, "documents"), table(spark, d, "roster"))
+
+
+def p9_redacted(spark, d):
+    """Every document with typed placeholders."""
+    return pii.redacted(table(spark, d, "documents"), table(spark, d, "roster"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_agreement": p1_agreement, "p1_reliability": p1_reliability, "p2_found": p2_found, "p2_all_defects": p2_all_defects, "p4_found": p4_found, "p4_collapsed": p4_collapsed, "p5_found": p5_found, "p5_report": p5_report, "p6_found": p6_found, "p6_assigned": p6_assigned, "p9_found": p9_found, "p9_redacted": p9_redacted}
 SQL: dict[str, str] = {}
