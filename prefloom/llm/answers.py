@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prefloom.llm.text import canonical, content, folded
+from prefloom.plans.lineage import land
 
 ORDER = ("empty", "copies_prompt", "refusal", "truncated", "other_language")
 
@@ -49,6 +50,10 @@ for _l, _ws in FUNCTION_WORDS.items():
         _LANG.setdefault(_w, []).append(_l)
 #: A word counts in proportion to how few of the languages share it.
 _LANG_W = {w: [(x, 1 / len(ls)) for x in ls] for w, ls in _LANG.items()}
+_LANG_WORDS = frozenset(_LANG_W)
+_BREAKS = str.maketrans({c: " " for c in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~’‘“”«»…–—¿¡"})
+_ASCII_GONE = {i: None for i in range(128) if not chr(i).isalnum()}
+_FOREIGN = re.compile(r"[\u0370-\u1dff\u2c00-\u2dff\u2e80-\ua6ff\ua800-\uab2f\uabc0-\ud7ff\uf900-\ufaff\ufb13-\ufdff\ufe70-\ufefc\uff66-\uffdc\U00010000-\U0001cfff\U00020000-\U0003ffff]")
 #: Names of languages in these languages (fixed list).
 LANGUAGE_NAMES = {
     "en": "english englisch anglais inglés inglese engels inglês", "de": "german deutsch allemand alemán tedesco duits alemão",
@@ -97,11 +102,9 @@ def sentences(text: str) -> list[str]:
 
 def is_refusal(text: str) -> bool:
     """Declines, and nothing but courtesies is left."""
-    t = folded(text).replace("’", "'")
-    if not REFUSAL.search(t):
-        return False
     hit, rest = False, 0
-    for s in sentences(t):
+    for s in sentences(text):
+        s = folded(s).replace("’", "'")
         if REFUSAL.search(s):
             hit = True
             # advice in the same sentence: a clause after "but", "yet" and the like
@@ -110,7 +113,9 @@ def is_refusal(text: str) -> bool:
                 rest += len(m[1].split())
         elif not _COURTESY.fullmatch(s.strip(" .!?…-*\"'")):
             rest += len(s.split())
-    return hit and rest <= 3
+        if rest > 3:
+            return False
+    return hit
 
 
 def is_empty(text: str | None) -> bool:
@@ -126,6 +131,8 @@ _FAST = re.compile(r"[\W_]+")
 
 
 def fast_content(text: str) -> str:
+    if text.isascii():
+        return text.lower().translate(_ASCII_GONE)
     return _FAST.sub("", text.casefold())
 
 
@@ -146,9 +153,10 @@ def copies_prompt(prompt: str, answer: str, fast_prompt: str, canon_prompt: str,
 
 
 def language_scores(text: str) -> Counter:
+    """Evidence by language: its distinct function words in the text."""
     s: Counter = Counter()
-    for w in _TOKEN.findall(text.lower()):
-        for x, k in _LANG_W.get(w, ()):
+    for w in _LANG_WORDS.intersection(text.lower().translate(_BREAKS).split()):
+        for x, k in _LANG_W[w]:
             s[x] += k
     return s
 
@@ -173,7 +181,7 @@ def expected_language(prompt: str) -> str | None:
 
 def script(text: str) -> str | None:
     """The script of most letters, judged on all of them; None without letters."""
-    if text.isascii():
+    if text.isascii() or not _FOREIGN.search(text):
         return "LATIN" if any(c.isalpha() for c in text) else None
     n: Counter = Counter()
     for c, k in Counter(text).items():
@@ -301,7 +309,7 @@ def _rules(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             fast, canon, lang, scr = of[prompt]
             if copies_prompt(prompt, answer, fast, canon):
                 out.append((origin, key, slot, "copies_prompt", None, None))
-            if len(answer) <= 600 and is_refusal(answer):
+            if is_refusal(answer):
                 out.append((origin, key, slot, "refusal", None, None))
             verdict, entry = ending(answer)
             if verdict == "cut":
@@ -317,7 +325,7 @@ def defects(rows: DataFrame) -> DataFrame:
     """origin, record_key, slot, defect: every triggered defect of ``rows`` (see ``answers``)."""
     listed = rows.where(F.col("answer").rlike(r"\n\s*(?:[-*•–+]|\d{1,3}[.)]|[a-z][.)])\s")).select("answer")
     stats = listed.mapInPandas(_stats, "key string, ends bigint, goes bigint").groupBy("key").agg(F.sum("ends").alias("ends"), F.sum("goes").alias("goes"))
-    hits = rows.mapInPandas(_rules, "origin string, record_key string, slot string, defect string, two string, one string")
+    hits = land(rows.mapInPandas(_rules, "origin string, record_key string, slot string, defect string, two string, one string"))
     sure, open_ = hits.where("one is null"), hits.where("one is not null")
     two = stats.select(F.col("key").alias("two"), F.col("ends").alias("ends2"), F.col("goes").alias("goes2"))
     one = stats.select(F.col("key").alias("one"), F.col("ends").alias("ends1"), F.col("goes").alias("goes1"))
