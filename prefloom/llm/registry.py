@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from prefloom.llm import answers, consensus, copies, cross_split, grouped_splits, pii
+from prefloom.llm import answers, consensus, copies, cross_split, grouped_splits, mixing, packing, pii
 from prefloom.sources.tables import table
 
 
@@ -54,6 +54,24 @@ def p6_assigned(spark, d):
     return grouped_splits.assign(table(spark, d, "dpo_pairs"), table(spark, d, "raw"))
 
 
+def p7_packed(spark, d):
+    """Every piece of every document with its container, for each kind of container."""
+    return packing.packed(table(spark, d, "documents"), table(spark, d, "pack_capacities"))
+
+
+def p7_usage(spark, d):
+    return packing.usage(packing.packed(table(spark, d, "documents"), table(spark, d, "pack_capacities")), table(spark, d, "pack_capacities"))
+
+
+def p8_mixed(spark, d):
+    """The documents of each mix and how often each is used."""
+    return mixing.mixed(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+
+
+def p8_shares(spark, d):
+    return mixing.report(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
 def p9_found(spark, d):
     return pii.found(table(spark, d, "documents"), table(spark, d, "roster"))
 
@@ -63,5 +81,5 @@ def p9_redacted(spark, d):
     return pii.redacted(table(spark, d, "documents"), table(spark, d, "roster"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_agreement": p1_agreement, "p1_reliability": p1_reliability, "p2_found": p2_found, "p2_all_defects": p2_all_defects, "p4_found": p4_found, "p4_collapsed": p4_collapsed, "p5_found": p5_found, "p5_report": p5_report, "p6_found": p6_found, "p6_assigned": p6_assigned, "p9_found": p9_found, "p9_redacted": p9_redacted}
+QUERIES = {"p1_found": p1_found, "p1_agreement": p1_agreement, "p1_reliability": p1_reliability, "p2_found": p2_found, "p2_all_defects": p2_all_defects, "p4_found": p4_found, "p4_collapsed": p4_collapsed, "p5_found": p5_found, "p5_report": p5_report, "p6_found": p6_found, "p6_assigned": p6_assigned, "p7_packed": p7_packed, "p7_usage": p7_usage, "p8_mixed": p8_mixed, "p8_shares": p8_shares, "p9_found": p9_found, "p9_redacted": p9_redacted}
 SQL: dict[str, str] = {}
