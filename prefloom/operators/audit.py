@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from prefloom.functions.rows import beside
+
 
 def leaked_prompts(pairs: DataFrame) -> DataFrame:
     """prompt_id, n_splits of prompts that occur in more than one split."""
@@ -43,7 +45,8 @@ def check_same_keys(base: DataFrame, other: DataFrame, key: str = "pair_id") ->
 
 
 def report_totals(pairs: DataFrame, raw: DataFrame) -> DataFrame:
-    return pairs.agg(F.count("*").alias("possible_pairs"), F.count(F.when(F.col("retain"), 1)).alias("retained_pairs"), F.countDistinct(F.when(F.col("retain"), F.col("prompt_id"))).alias("retained_prompts")).crossJoin(raw.agg(F.count("*").alias("records"))).select("records", "possible_pairs", "retained_pairs", "retained_prompts")
+    made = pairs.agg(F.count("*").alias("possible_pairs"), F.count(F.when(F.col("retain"), 1)).alias("retained_pairs"), F.countDistinct(F.when(F.col("retain"), F.col("prompt_id"))).alias("retained_prompts"))
+    return beside(made, raw.agg(F.count("*").alias("records"))).select("records", "possible_pairs", "retained_pairs", "retained_prompts")
 
 
 def report_counts(pairs: DataFrame) -> DataFrame:

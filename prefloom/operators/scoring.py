@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from prefloom.functions.rows import beside
 from prefloom.functions.stats import close, positive
 
 MARKER = "<|response-begins-here|>"
@@ -35,8 +36,8 @@ class UnigramScorer:
     def logprobs(self) -> DataFrame:
         """token, logprob for the vocabulary; a further row with a null token holds the value of unseen ones."""
         v = self.vocabulary.distinct().join(self.counts, "token", "left").select("token", F.coalesce("n", F.lit(0)).alias("n"))
-        totals = self.counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total")).crossJoin(self.vocabulary.distinct().agg(F.count("*").alias("size")))  # one row
-        return v.unionByName(v.sparkSession.createDataFrame([(None, 0)], "token string, n bigint")).crossJoin(totals).select("token", F.log((F.col("n") + 1.0) / (F.col("total") + F.col("size"))).alias("logprob"))
+        totals = beside(self.counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total")), self.vocabulary.distinct().agg(F.count("*").alias("size")))
+        return beside(v.unionByName(v.sparkSession.createDataFrame([(None, 0)], "token string, n bigint")), totals).select("token", F.log((F.col("n") + 1.0) / (F.col("total") + F.col("size"))).alias("logprob"))
 
     def score(self, texts: DataFrame, col: str = "text") -> DataFrame:
         """text, token_count, logprob_sum, logprob_mean of each distinct text; means are kept to ten decimals, so that equal bags of words tie."""
@@ -44,7 +45,7 @@ class UnigramScorer:
         unseen = lp.where("token is null").select(F.col("logprob").alias("unseen"))
         t = texts.select(F.col(col).alias("text")).distinct().withColumn("id", F.sha2(F.coalesce("text", F.lit("")), 256))
         bag = t.select("id", F.explode(tokens(F.col("text"))).alias("token")).groupBy("id", "token").agg(F.count("*").alias("c"))
-        summed = (bag.join(lp.where("token is not null"), "token", "left").crossJoin(unseen)
+        summed = (beside(bag.join(lp.where("token is not null"), "token", "left"), unseen)
                   .groupBy("id").agg(F.sum("c").alias("token_count"), F.sum(F.col("c") * F.coalesce("logprob", "unseen")).alias("s")))
         return t.join(summed, "id", "left").select("text", F.coalesce("token_count", F.lit(0)).alias("token_count"), F.round("s", 8).alias("logprob_sum"), F.round(F.col("s") / F.col("token_count"), 10).alias("logprob_mean"))
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from prefloom.functions.rows import beside
 from prefloom.functions.stats import close, mcnemar, positive, wilson
 from prefloom.functions.text import margin_bucket
 from prefloom.operators.audit import check_same_keys, check_unique
@@ -20,7 +21,7 @@ def metrics(details: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         F.avg("model_margin").alias("mean_model_margin"), F.median("model_margin").alias("median_model_margin"), F.stddev_pop("model_margin").alias("model_margin_std"),
         F.avg("chosen_logprob_per_token").alias("mean_chosen_logprob_per_token"), F.avg("rejected_logprob_per_token").alias("mean_rejected_logprob_per_token"))
     macro = details.groupBy(*by, "prompt_id").agg(F.avg(ok).alias("a")).groupBy(*by).agg(F.avg("a").alias("prompt_macro_accuracy"))
-    out = one.join(macro, list(by)) if by else one.crossJoin(macro)  # without groups: one row each
+    out = one.join(macro, list(by)) if by else beside(one, macro)
     lo, hi = wilson(F.col("correct"), F.col("n"))
     return out.withColumns({"accuracy_wilson_lo": lo, "accuracy_wilson_hi": hi})
 
@@ -77,7 +78,7 @@ def compare(rel: DataFrame) -> DataFrame:
     per = rel.groupBy("prompt_id").agg(*[F.avg(num(c)).alias(c) for c in ("implicit_reward_correct", "baseline_correct", "candidate_correct", "absolute_accuracy_delta")])
     macro = per.agg(F.avg("implicit_reward_correct").alias("implicit_reward_prompt_macro_accuracy"), F.avg("baseline_correct").alias("baseline_prompt_macro_accuracy"), F.avg("candidate_correct").alias("candidate_prompt_macro_accuracy"), F.avg("absolute_accuracy_delta").alias("prompt_macro_accuracy_delta"))
     lo, hi = wilson(F.col("implicit_correct"), F.col("paired_n"))
-    return one.crossJoin(macro).withColumns({"implicit_reward_wilson_lo": lo, "implicit_reward_wilson_hi": hi, "accuracy_delta": F.col("candidate_preference_accuracy") - F.col("baseline_preference_accuracy"),
+    return beside(one, macro).withColumns({"implicit_reward_wilson_lo": lo, "implicit_reward_wilson_hi": hi, "accuracy_delta": F.col("candidate_preference_accuracy") - F.col("baseline_preference_accuracy"),
                                              "mcnemar_p": mcnemar(F.col("baseline_correct_candidate_wrong"), F.col("baseline_wrong_candidate_correct")), "all_pairs_changed": F.col("pairs_changed") == F.col("paired_n")})
 
 
@@ -107,7 +108,7 @@ def bootstrap(rows: DataFrame, value: Column, samples: int = 10_000, seed: int =
         return F.pmod(F.xxhash64(F.lit(seed), "rep", i), i64(F.col("p")))
 
     mean = F.aggregate(F.sequence(F.lit(0), F.col("p") - 1), F.lit(0.0), lambda acc, i: acc + F.get("means", draw(i).cast("int"))) / F.col("p")
-    est = r.crossJoin(F.broadcast(means)).select(mean.alias("e"))  # one row, of a checked size
+    est = beside(r, means).select(mean.alias("e"))  # one row, of a checked size
     k = lambda q: int(q * (samples - 1))
     ordered = est.agg(F.sort_array(F.collect_list("e")).alias("e")).where(F.size("e") > 0)  # samples numbers
     return ordered.select(F.get("e", F.lit(k(0.025))).alias("lo"), F.get("e", F.lit(k(0.975))).alias("hi"))
