@@ -40,14 +40,14 @@ class UnigramScorer:
         return beside(v.unionByName(v.sparkSession.createDataFrame([(None, 0)], "token string, n bigint")), totals).select("token", F.log((F.col("n") + 1.0) / (F.col("total") + F.col("size"))).alias("logprob"))
 
     def score(self, texts: DataFrame, col: str = "text") -> DataFrame:
-        """text, token_count, logprob_sum, logprob_mean of each distinct text; means are kept to ten decimals, so that equal bags of words tie."""
+        """text, token_count, logprob_sum, logprob_mean of each distinct text; means are kept to twelve decimals, so that equal bags of words tie."""
         lp = self.logprobs()
         unseen = lp.where("token is null").select(F.col("logprob").alias("unseen"))
         t = texts.select(F.col(col).alias("text")).distinct().withColumn("id", F.sha2(F.coalesce("text", F.lit("")), 256))
         bag = t.select("id", F.explode(tokens(F.col("text"))).alias("token")).groupBy("id", "token").agg(F.count("*").alias("c"))
         summed = (beside(bag.join(lp.where("token is not null"), "token", "left"), unseen)
                   .groupBy("id").agg(F.sum("c").alias("token_count"), F.sum(F.col("c") * F.coalesce("logprob", "unseen")).alias("s")))
-        return t.join(summed, "id", "left").select("text", F.coalesce("token_count", F.lit(0)).alias("token_count"), F.round("s", 8).alias("logprob_sum"), F.round(F.col("s") / F.col("token_count"), 10).alias("logprob_mean"))
+        return t.join(summed, "id", "left").select("text", F.coalesce("token_count", F.lit(0)).alias("token_count"), F.round("s", 11).alias("logprob_sum"), F.round(F.col("s") / F.col("token_count"), 12).alias("logprob_mean"))
 
 
 def batch_scorer(score: Callable[[list[str], list[str]], list[tuple[float, int]]]) -> Callable[[DataFrame], DataFrame]:
