@@ -96,6 +96,10 @@ _COURTESY = re.compile("|".join((
 _SENTENCE = re.compile(r"(?<=[.!?…])[\"”»')\]]*\s+|\n+")
 
 
+#: Quoted speech is nobody's answer.
+_QUOTED = re.compile(r"\"[^\"\n]*\"|“[^”\n]*”|«[^»\n]*»")
+
+
 def sentences(text: str) -> list[str]:
     return [s for s in (x.strip() for x in _SENTENCE.split(text)) if s]
 
@@ -103,7 +107,7 @@ def sentences(text: str) -> list[str]:
 def is_refusal(text: str) -> bool:
     """Declines, and nothing but courtesies is left."""
     hit, rest = False, 0
-    for s in sentences(text):
+    for s in sentences(_QUOTED.sub(" x ", text.strip().strip('"“”«»*'))):
         s = folded(s).replace("’", "'")
         if REFUSAL.search(s):
             hit = True
