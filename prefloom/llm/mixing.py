@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from prefloom.llm.tokens import RANKS, with_tokens
 from prefloom.plans.lineage import land
 
-SLICES = 256
+SLICES = 1024
 
 
 def source_name(c):

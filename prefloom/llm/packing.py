@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from prefloom.llm.tokens import RANKS, with_tokens
 from prefloom.plans.lineage import land
 
-SLICES = 64
+SLICES = 256
 
 
 def pack_counts(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
