@@ -206,6 +206,23 @@ SELECT param, count(*) AS numel, bool_and(d = 0) AS exactly_equal, count(*) FILT
     "tuning_rank": _CAND + "SELECT candidate, metric, margin, loss, row_number() OVER (ORDER BY metric DESC NULLS LAST, margin DESC NULLS LAST, loss ASC NULLS LAST, candidate) AS place FROM cand",
     "tuning_winner": _CAND + "SELECT candidate, n, metric, margin, loss FROM cand ORDER BY metric DESC NULLS LAST, margin DESC NULLS LAST, loss ASC NULLS LAST, candidate LIMIT 1",
     "tuning_warmup": _CAND + "SELECT candidate, n, (ceil(n / 8.0) * 2)::BIGINT AS updates, greatest(1, round_even((ceil(n / 8.0) * 2)::DOUBLE * 0.1::DOUBLE, 0)::BIGINT)::BIGINT AS warmup FROM cand",
-    "p3_tables": "",
+    "p3_found": r"""
+WITH j AS (SELECT row_no, payload::JSON AS d FROM raw_json WHERE json_valid(payload)),
+r AS (SELECT row_no, CASE WHEN json_extract(d, '$.evaluations') IS NULL AND json_type(d, '$.record') = 'OBJECT' THEN json_extract(d, '$.record.evaluations') ELSE json_extract(d, '$.evaluations') END AS e FROM j WHERE json_type(d) = 'OBJECT'),
+o AS (SELECT row_no, CASE WHEN json_type(e) = 'VARCHAR' AND json_valid(e ->> '$') THEN (e ->> '$')::JSON ELSE e END AS e FROM r),
+k AS (SELECT row_no, e, unnest(json_keys(e)) AS source FROM o WHERE json_type(e) = 'OBJECT'),
+l AS (SELECT row_no, unnest(from_json(e, '["JSON"]')) AS b FROM o WHERE json_type(e) = 'ARRAY'),
+s AS (SELECT row_no, source, json_extract(e, '$."' || source || '"') AS b FROM k UNION ALL SELECT row_no, b ->> '$.source', b FROM l WHERE json_type(b) = 'OBJECT'),
+g AS (SELECT row_no, source, json_extract(b, '$.judgments') AS g FROM s WHERE json_type(b) = 'OBJECT'),
+gl AS (SELECT row_no, source, CASE json_type(g) WHEN 'ARRAY' THEN from_json(g, '["JSON"]') WHEN 'OBJECT' THEN [g] END AS x FROM g),
+jd AS (SELECT row_no, source, unnest(x) AS t, generate_subscripts(x, 1) - 1 AS judgment_no FROM gl),
+sc AS (SELECT row_no, source, judgment_no, json_extract(t, '$.scores') AS s FROM jd WHERE json_type(t) = 'OBJECT'),
+sl AS (SELECT row_no, source, judgment_no, CASE WHEN json_type(s) = 'ARRAY' THEN from_json(s, '["JSON"]') WHEN s IS NOT NULL THEN [s] END AS x FROM sc),
+en AS (SELECT row_no, source, judgment_no, unnest(x) AS v, generate_subscripts(x, 1) - 1 AS score_no FROM sl),
+nm AS (SELECT row_no, source, judgment_no, score_no, CASE WHEN json_type(v) = 'OBJECT' THEN json_extract(v, '$.judge_score') ELSE v END AS v FROM en),
+ev AS (SELECT row_no, unnest(map_entries(evaluations)) AS m FROM raw),
+ej AS (SELECT row_no, m.key AS source, unnest(m.value.judgments) AS q, generate_subscripts(m.value.judgments, 1) - 1 AS judgment_no FROM ev),
+es AS (SELECT row_no, source, judgment_no, unnest(q.scores) AS z, generate_subscripts(q.scores, 1) - 1 AS score_no FROM ej)
+SELECT DISTINCT 'raw' AS origin, row_no, source, judgment_no::INT AS judgment_no, score_no::INT AS score_no FROM es WHERE isfinite(z.judge_score)
+UNION ALL SELECT DISTINCT 'raw_json', row_no, source, judgment_no::INT, score_no::INT FROM nm WHERE json_type(v) IN ('UBIGINT', 'BIGINT', 'DOUBLE', 'HUGEINT') AND isfinite((v ->> '$')::DOUBLE)""",
 }
-del SQL["p3_tables"]
