@@ -82,4 +82,15 @@ def p9_redacted(spark, d):
 
 
 QUERIES = {"p1_found": p1_found, "p1_agreement": p1_agreement, "p1_reliability": p1_reliability, "p2_found": p2_found, "p2_all_defects": p2_all_defects, "p4_found": p4_found, "p4_collapsed": p4_collapsed, "p5_found": p5_found, "p5_report": p5_report, "p6_found": p6_found, "p6_assigned": p6_assigned, "p7_packed": p7_packed, "p7_usage": p7_usage, "p8_mixed": p8_mixed, "p8_shares": p8_shares, "p9_found": p9_found, "p9_redacted": p9_redacted}
-SQL: dict[str, str] = {}
+#: The other queries can't be put in SQL that ends in time on whole tables; tests compare them with brute force on small ones.
+SQL: dict[str, str] = {
+    "p6_found": """
+WITH RECURSIVE sp AS (SELECT prompt_id, record_id, CASE WHEN lower(trim(split)) IN ('val', 'dev') THEN 'validation' ELSE lower(trim(split)) END AS split FROM dpo_pairs WHERE prompt_id IS NOT NULL),
+au AS (SELECT DISTINCT id, trim(author_id) AS author FROM raw WHERE trim(author_id) <> '' AND lower(trim(author_id)) <> 'unknown'),
+e AS (SELECT DISTINCT prompt_id, 'r:' || record_id AS x FROM sp WHERE record_id IS NOT NULL UNION SELECT DISTINCT prompt_id, 'a:' || author FROM sp JOIN au ON sp.record_id = au.id),
+lk AS (SELECT DISTINCT a.prompt_id AS a, b.prompt_id AS b FROM e a JOIN e b USING (x)),
+rc AS (SELECT DISTINCT prompt_id AS a, prompt_id AS b FROM sp UNION SELECT rc.a, lk.b FROM rc JOIN lk ON rc.b = lk.a),
+g AS (SELECT a AS prompt_id, min(b) AS group_prompt_id FROM rc GROUP BY a),
+t AS (SELECT group_prompt_id FROM g JOIN sp USING (prompt_id) WHERE split IS NOT NULL GROUP BY 1 HAVING count(DISTINCT split) > 1)
+SELECT prompt_id, group_prompt_id FROM g WHERE group_prompt_id IN (SELECT group_prompt_id FROM t)""",
+}
