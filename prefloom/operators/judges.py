@@ -34,8 +34,9 @@ def judge_stats(judgments: Column) -> Column:
         return F.struct(v["judge"].alias("judge"), v["mean"].alias("mean"), F.when(n > 1, spread).when(n == 1, F.lit(0.0)).otherwise(F.coalesce(v["std"], F.lit(0.0))).alias("repeat_std"), n.cast("double").alias("valid_attempts"))
 
     valued = F.transform(F.filter(F.transform(F.transform(named, shape), mean), lambda v: v["mean"].isNotNull()), result)
-    rest = lambda i: F.slice(valued, i + 2, F.greatest(F.size(valued), F.lit(1)))
-    return F.filter(valued, lambda v, i: ~F.exists(rest(i), lambda w: w["judge"] == v["judge"]))
+    # bound to a variable, so that it is computed once and not for each element
+    last = lambda all_: F.filter(all_, lambda v, i: ~F.exists(F.slice(all_, i + 2, F.greatest(F.size(all_), F.lit(1))), lambda w: w["judge"] == v["judge"]))
+    return F.element_at(F.transform(F.array(valued), last), 1)
 
 
 def expected_judges(evaluations: Column) -> Column:

@@ -36,16 +36,20 @@ def prompts(raw: DataFrame, policy: Policy = Policy(), exact_casefold: bool = Fa
 
 def combinations(raw: DataFrame) -> DataFrame:
     """row_no, source_a, source_b of all pairs of a record's responses, source_a first by code points."""
-    s = F.array_sort(F.map_keys("responses"))
+    s = F.sort_array(F.map_keys("responses"))
     both = F.flatten(F.transform(s, lambda a, i: F.transform(F.slice(s, i + 2, F.greatest(F.size(s), F.lit(1))), lambda b: F.struct(a.alias("source_a"), b.alias("source_b")))))
     return raw.where("responses is not null").select("row_no", F.explode(both).alias("c")).select("row_no", "c.*")
 
 
 def _common(a: Column, b: Column) -> Column:
     """Judges of both sides in order, with both scores; each judge occurs once per side."""
-    of = lambda x: F.element_at(F.filter(b, lambda y: y["judge"] == x["judge"]), 1)
-    both = F.filter(a, lambda x: F.exists(b, lambda y: y["judge"] == x["judge"]))
-    return F.array_sort(F.transform(both, lambda x: F.struct(x["judge"].alias("judge"), x["mean"].alias("ma"), of(x)["mean"].alias("mb"), x["repeat_std"].alias("sa"), of(x)["repeat_std"].alias("sb"))))
+
+    def meet(ab: Column) -> Column:
+        found = F.transform(ab["a"], lambda x: F.struct(x.alias("x"), F.get(F.filter(ab["b"], lambda y: y["judge"] == x["judge"]), F.lit(0)).alias("y")))
+        return F.transform(F.filter(found, lambda m: m["y"].isNotNull()), lambda m: F.struct(m["x"]["judge"].alias("judge"), m["x"]["mean"].alias("ma"), m["y"]["mean"].alias("mb"), m["x"]["repeat_std"].alias("sa"), m["y"]["repeat_std"].alias("sb")))
+
+    # both sides bound to one variable, so that they are looked up once
+    return F.sort_array(F.element_at(F.transform(F.array(F.struct(a.alias("a"), b.alias("b"))), meet), 1))
 
 
 def _mean(xs: Column) -> Column:
@@ -55,7 +59,7 @@ def _mean(xs: Column) -> Column:
 def measured(raw: DataFrame, policy: Policy = Policy()) -> DataFrame:
     """One row per pair with texts, common judges and the unrounded measures; no shuffle, since a record is one row."""
     norm = normalize_prompt("instruction")
-    s = F.array_sort(F.map_keys("responses"))
+    s = F.sort_array(F.map_keys("responses"))
     both = F.flatten(F.transform(s, lambda a, i: F.transform(F.slice(s, i + 2, F.greatest(F.size(s), F.lit(1))), lambda b: F.struct(a.alias("a"), b.alias("b")))))
     per = raw.where("responses is not null").select(
         "row_no", F.coalesce(F.col("id"), F.lit("")).alias("record_id"), stripped(F.coalesce("instruction", F.lit(""))).alias("prompt"), norm.alias("norm"), "responses", stripped(F.coalesce("preferred_response", F.lit(""))).alias("preferred"),
