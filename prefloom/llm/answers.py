@@ -77,13 +77,13 @@ REFUSAL = re.compile("|".join((
     r"\b(?:instructions|guidelines|policies|policy|rules) (?:do not|don't|does not|doesn't) (?:allow|permit)\b", r"\bno answer (?:will|can) be\b",
     r"\boutside (?:of )?(?:what i|my)\b", r"\bas an? (?:ai|language model)\b.{0,40}\bnot\b", r"\bpass on this\b", r"\bnot something i can\b", r"\bthis is (?:something|a topic)\b.{0,20}\b(?:unable|can't|cannot|won't)\b",
     # de
-    r"\b(?:kann|darf|möchte|will|werde) (?:ich|wir)\b.{0,40}\bnicht\b", r"\bich (?:kann|darf|möchte|will|werde)\b.{0,50}\bnicht\b", r"\btut mir leid\b", r"\b(?:muss ich|ich muss)\b.{0,40}\b(?:ablehnen|passen)\b", r"\blehne ich\b.{0,40}\bab\b", r"\bnicht (?:in der lage|gestattet|erlaubt|möglich)\b", r"\bich bin nicht (?:in der lage|befugt)\b",
+    r"\b(?:kann|darf|möchte|will|werde) (?:ich|wir)\b.{0,40}\bnicht\b", r"\bich (?:kann|darf|möchte|will|werde)\b.{0,50}\bnicht\b", r"\btut mir leid\b", r"\b(?:muss ich|ich muss)\b.{0,40}\b(?:ablehnen|passen)\b", r"\blehne ich\b.{0,40}\bab\b", r"\bnicht (?:in der lage|gestattet|erlaubt|möglich)\b", r"\bich bin nicht (?:in der lage|befugt)\b", r"\b(?:gebe|erteile) ich\b.{0,30}\b(?:keine?n?|nicht)\b", r"\bich (?:gebe|erteile)\b.{0,30}\bkeine\b", r"\b(?:beantworte|bespreche|behandle) ich\b.{0,20}\bnicht\b", r"\b(?:äußere|sage) ich\b.{0,20}\b(?:nicht|nichts)\b", r"\bnicht weiterhelfen\b", r"\bkeine (?:auskunft|antwort) (?:geben|möglich|dazu)\b",
     # fr
-    r"\bje (?:ne|n')\s?(?:peux|puis|suis|souhaite|veux|saurais|pourrai)\b.{0,40}\bpas\b", r"\bje ne (?:suis|peux|puis)\b.{0,30}\b(?:en mesure|autorisée?)\b", r"\bje préfère ne pas\b", r"\bje dois (?:refuser|décliner)\b", r"\b(?:désolée?|navrée?)\b.{0,60}\b(?:peux|puis|impossible|pas)\b", r"\bil m'est impossible\b", r"\bne m'est pas (?:permis|possible)\b", r"\bje refuse\b", r"\bne me permettent pas\b",
+    r"\bje (?:ne|n')\s?(?:peux|puis|suis|souhaite|veux|saurais|pourrai)\b.{0,40}\bpas\b", r"\bje ne (?:suis|peux|puis)\b.{0,30}\b(?:en mesure|autorisée?)\b", r"\bje préfère ne pas\b", r"\bje dois (?:refuser|décliner)\b", r"\b(?:désolée?|navrée?)\b.{0,60}\b(?:peux|puis|impossible|pas)\b", r"\bil m'est impossible\b", r"\bne m'est pas (?:permis|possible)\b", r"\bje refuse\b", r"\bne me permettent pas\b", r"\bje ne (?:réponds|répondrai|donne|donnerai|traite|traiterai|parle|parlerai)\b.{0,20}\b(?:pas|aucune?|rien)\b", r"\bil ne m'est pas\b", r"\bje n'ai pas le droit\b", r"\bje préfère\b.{0,20}\bne (?:pas|rien)\b", r"\bje m'abstiens\b", r"\bje (?:dois|préfère) m'abstenir\b",
     # es
-    r"\b(?:lo siento|lo lamento|perdona|disculpa)\b.{0,60}\bno\b", r"\bno (?:puedo|podré|podemos|debo|quiero)\b.{0,30}\b(?:ayudar\w*|responder\w*|contestar\w*|hablar|dar\w*|tratar|hacer\w*|atender\w*|escribir\w*|opinar|comentar)\b", r"\bno me (?:está|es|resulta) (?:permitido|posible)\b", r"\bno estoy (?:en condiciones|autorizad[oa]|capacitad[oa])\b", r"\bprefiero no\b", r"\bdebo (?:rechazar|negarme|declinar)\b", r"\bme niego\b", r"\btengo que (?:rechazar|declinar)\b", r"\bmis (?:normas|instrucciones|reglas)\b.{0,30}\bno\b",
+    r"\b(?:lo siento|lo lamento|perdona|disculpa)\b.{0,60}\bno\b", r"\bno (?:puedo|podré|podemos|debo|quiero)\b.{0,30}\b(?:ayudar\w*|responder\w*|contestar\w*|hablar|dar\w*|tratar|hacer\w*|atender\w*|escribir\w*|opinar|comentar)\b", r"\bno me (?:está|es|resulta) (?:permitido|posible)\b", r"\bno estoy (?:en condiciones|autorizad[oa]|capacitad[oa])\b", r"\bprefiero no\b", r"\bdebo (?:rechazar|negarme|declinar)\b", r"\bme niego\b", r"\bno (?:respondo|responderé|contesto|contestaré|doy|daré|trato|trataré|hablo|hablaré|opino|ofrezco)\b", r"\bno voy a\b.{0,20}\b(?:responder|contestar|hablar|ayudar\w*|tratar)\b", r"\bme abstengo\b", r"\bno está en mi mano\b", r"\btengo que (?:rechazar|declinar)\b", r"\bmis (?:normas|instrucciones|reglas)\b.{0,30}\bno\b",
     # it
-    r"\b(?:mi dispiace|spiacente|mi spiace)\b.{0,60}\bnon\b", r"\bnon (?:posso|potrò|voglio|riesco)\b.{0,30}\b(?:aiutar\w*|risponder\w*|dar\w*|parlar\w*|trattar\w*|scriver\w*|farlo|commentar\w*)\b", r"\bnon mi è (?:consentito|permesso|possibile)\b", r"\bnon sono (?:in grado|autorizzat[oa])\b", r"\bpreferisco non\b", r"\bdevo (?:rifiutare|declinare)\b", r"\bmi rifiuto\b", r"\ble mie (?:regole|istruzioni)\b.{0,30}\bnon\b",
+    r"\b(?:mi dispiace|spiacente|mi spiace)\b.{0,60}\bnon\b", r"\bnon (?:posso|potrò|voglio|riesco)\b.{0,30}\b(?:aiutar\w*|risponder\w*|dar\w*|parlar\w*|trattar\w*|scriver\w*|farlo|commentar\w*)\b", r"\bnon mi è (?:consentito|permesso|possibile)\b", r"\bnon sono (?:in grado|autorizzat[oa])\b", r"\bpreferisco non\b", r"\bdevo (?:rifiutare|declinare)\b", r"\bmi rifiuto\b", r"\bnon (?:rispondo|risponderò|do|darò|fornisco|fornirò|tratto|tratterò|parlo|parlerò)\b", r"\bpreferirei non\b", r"\bmi astengo\b", r"\bnon (?:mi )?è possibile\b", r"\ble mie (?:regole|istruzioni)\b.{0,30}\bnon\b",
     # nl, pt
     r"\bkan ik\b.{0,30}\bniet\b", r"\bhet spijt me\b.{0,60}\bniet\b", r"\bmag ik\b.{0,30}\bniet\b", r"\b(?:desculpe|lamento|sinto muito)\b.{0,60}\bnão\b", r"\bnão posso (?:ajudar|responder)\b",
 )))
