@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prefloom.functions.rows import beside
+from prefloom.operators.pairs import REASONS
 
 
 def leaked_prompts(pairs: DataFrame) -> DataFrame:
@@ -57,8 +58,10 @@ def report_counts(pairs: DataFrame) -> DataFrame:
     return g.agg(F.count("*").alias("pairs"), F.count(F.when(F.col("retain"), 1)).alias("retained"))
 
 
-def report_exclusions(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.explode("exclusion_reasons").alias("reason")).groupBy("reason").agg(F.count("*").alias("pairs"))
+def report_exclusions(pairs: DataFrame, reasons: tuple[str, ...] = REASONS) -> DataFrame:
+    """reason, pairs of the reasons that occur: one row of conditional counts, turned."""
+    counts = pairs.agg(*[F.count(F.when(F.array_contains("exclusion_reasons", r), 1)).alias(r) for r in reasons])
+    return counts.unpivot([], list(reasons), "reason", "pairs").where("pairs > 0")
 
 
 def report_preferred(pairs: DataFrame) -> DataFrame:

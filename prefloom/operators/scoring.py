@@ -24,14 +24,17 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), lambda x: x != "")
 
 
+def token_counts(corpus: DataFrame, text_col: str) -> DataFrame:
+    """token, n over all texts: what a unigram model is made of. Land it where several models or passes need it."""
+    return corpus.select(F.explode(tokens(F.col(text_col))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+
+
 class UnigramScorer:
     """Add-one unigram model: ln((count + 1) / (tokens + vocabulary)), with the vocabulary given by the caller so that models can share it."""
 
-    def __init__(self, corpus: DataFrame, text_col: str, vocabulary: DataFrame | None = None):
-        words = corpus.select(F.explode(tokens(F.col(text_col))).alias("token"))
-        counts = words.groupBy("token").agg(F.count("*").alias("n"))
-        self.counts = counts
-        self.vocabulary = vocabulary if vocabulary is not None else counts.select("token")
+    def __init__(self, corpus: DataFrame | None = None, text_col: str = "text", vocabulary: DataFrame | None = None, counts: DataFrame | None = None):
+        self.counts = counts if counts is not None else token_counts(corpus, text_col)
+        self.vocabulary = vocabulary if vocabulary is not None else self.counts.select("token")
 
     def logprobs(self) -> DataFrame:
         """token, logprob for the vocabulary; a further row with a null token holds the value of unseen ones."""
@@ -43,11 +46,12 @@ class UnigramScorer:
         """text, token_count, logprob_sum, logprob_mean of each distinct text; means are kept to twelve decimals, so that equal bags of words tie."""
         lp = self.logprobs()
         unseen = lp.where("token is null").select(F.col("logprob").alias("unseen"))
-        t = texts.select(F.col(col).alias("text")).distinct().withColumn("id", F.sha2(F.coalesce("text", F.lit("")), 256))
-        bag = t.select("id", F.explode(tokens(F.col("text"))).alias("token")).groupBy("id", "token").agg(F.count("*").alias("c"))
+        # two hashes of 64 and 32 bits stand for a text while its tokens move
+        t = texts.select(F.coalesce(F.col(col), F.lit("")).alias("text")).distinct().withColumns({"h": F.xxhash64("text"), "g": F.hash("text")})
+        bag = t.select("h", "g", F.explode(tokens(F.col("text"))).alias("token")).groupBy("h", "g", "token").agg(F.count("*").alias("c"))
         summed = (beside(bag.join(lp.where("token is not null"), "token", "left"), unseen)
-                  .groupBy("id").agg(F.sum("c").alias("token_count"), F.sum(F.col("c") * F.coalesce("logprob", "unseen")).alias("s")))
-        return t.join(summed, "id", "left").select("text", F.coalesce("token_count", F.lit(0)).alias("token_count"), F.round("s", 11).alias("logprob_sum"), F.round(F.col("s") / F.col("token_count"), 12).alias("logprob_mean"))
+                  .groupBy("h", "g").agg(F.sum("c").alias("token_count"), F.sum(F.col("c") * F.coalesce("logprob", "unseen")).alias("s")))
+        return t.join(summed, ["h", "g"], "left").select("text", F.coalesce("token_count", F.lit(0)).alias("token_count"), F.round("s", 11).alias("logprob_sum"), F.round(F.col("s") / F.col("token_count"), 12).alias("logprob_mean"))
 
 
 def batch_scorer(score: Callable[[list[str], list[str]], list[tuple[float, int]]]) -> Callable[[DataFrame], DataFrame]:

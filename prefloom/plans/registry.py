@@ -11,7 +11,7 @@ from prefloom.operators import judges as jd
 from prefloom.operators import pairs as pr
 from prefloom.operators import scoring as sc
 from prefloom.plans.lineage import land
-from prefloom.sources.tables import table
+from prefloom.sources.tables import spread, table
 
 #: Policy of the queries: the sample run's shares.
 POLICY = pr.Policy(train_share=0.70, validation_share=0.15)
@@ -34,12 +34,16 @@ def p3_tables(spark, d):
     return nested.linked_tables(table(spark, d, "raw"), table(spark, d, "raw_json"))
 
 
+def _raw(spark, d):
+    return spread(table(spark, d, "raw"))
+
+
 def judge_scores(spark, d):
-    return _r(jd.judge_scores(table(spark, d, "raw")))
+    return _r(jd.judge_scores(_raw(spark, d)))
 
 
 def expected_judges(spark, d):
-    return table(spark, d, "raw").select("row_no", jd.expected_judges(F.col("evaluations")).alias("expected_judges"))
+    return _raw(spark, d).select("row_no", jd.expected_judges(F.col("evaluations")).alias("expected_judges"))
 
 
 def attempt_scores(spark, d):
@@ -50,50 +54,50 @@ def attempt_scores(spark, d):
 
 
 def prompt_normalize(spark, d):
-    return table(spark, d, "raw").select("row_no", normalize_prompt("instruction").alias("normal"))
+    return _raw(spark, d).select("row_no", normalize_prompt("instruction").alias("normal"))
 
 
 def prompt_ids(spark, d):
-    return pr.prompts(table(spark, d, "raw"), POLICY).select("row_no", "prompt_id")
+    return pr.prompts(_raw(spark, d), POLICY).select("row_no", "prompt_id")
 
 
 def prompt_split(spark, d):
-    return pr.prompts(table(spark, d, "raw"), POLICY).select("row_no", "split")
+    return pr.prompts(_raw(spark, d), POLICY).select("row_no", "split")
 
 
 def split_shares(spark, d):
-    p = pr.prompts(table(spark, d, "raw"), POLICY)
+    p = pr.prompts(_raw(spark, d), POLICY)
     return p.groupBy("split").agg(F.count("*").alias("records"), F.countDistinct("prompt_id").alias("prompts"))
 
 
 def response_combinations(spark, d):
-    return pr.combinations(table(spark, d, "raw"))
+    return pr.combinations(_raw(spark, d))
 
 
 def pair_metrics(spark, d):
-    m = pr.measured(table(spark, d, "raw"), POLICY)
+    m = pr.measured(_raw(spark, d), POLICY)
     return _r(m.select("row_no", "source_a", "source_b", "n_common", "expected_judges", "delta", "label_margin", "judge_agreement", "judge_coverage", "average_repeat_std", "repeat_consistency", "confidence_score"))
 
 
 def pair_side_scores(spark, d):
-    return _r(pr.build_pairs(table(spark, d, "raw"), POLICY).select("row_no", "comparison_type", "chosen_source", "chosen_score_common_judges", "rejected_score_common_judges"))
+    return _r(pr.build_pairs(_raw(spark, d), POLICY).select("row_no", "comparison_type", "chosen_source", "chosen_score_common_judges", "rejected_score_common_judges"))
 
 
 def preferred_agreement(spark, d):
-    return pr.build_pairs(table(spark, d, "raw"), POLICY).select("row_no", "comparison_type", "raw_preferred_response", "preferred_field_agrees")
+    return pr.build_pairs(_raw(spark, d), POLICY).select("row_no", "comparison_type", "raw_preferred_response", "preferred_field_agrees")
 
 
 def pair_exclusions(spark, d):
-    return pr.build_pairs(table(spark, d, "raw"), POLICY).select("row_no", "comparison_type", "retain", F.concat_ws(",", "exclusion_reasons").alias("reasons"))
+    return pr.build_pairs(_raw(spark, d), POLICY).select("row_no", "comparison_type", "retain", F.concat_ws(",", "exclusion_reasons").alias("reasons"))
 
 
 def pairs_full(spark, d):
-    return _r(pr.build_pairs(table(spark, d, "raw"), POLICY).select("row_no", "pair_id", "record_id", "prompt_id", "split", "prompt", "chosen", "rejected", "chosen_source", "rejected_source", "label_margin", "label_confidence", "confidence_score", "common_successful_judges", "expected_judges", "retain"))
+    return _r(pr.build_pairs(_raw(spark, d), POLICY).select("row_no", "pair_id", "record_id", "prompt_id", "split", "prompt", "chosen", "rejected", "chosen_source", "rejected_source", "label_margin", "label_confidence", "confidence_score", "common_successful_judges", "expected_judges", "retain"))
 
 
 def leakage_audit(spark, d):
     """Of the built pairs: none."""
-    return audit.leaked_prompts(pr.build_pairs(table(spark, d, "raw"), POLICY))
+    return audit.leaked_prompts(pr.build_pairs(_raw(spark, d), POLICY))
 
 
 def leakage_audit_violations(spark, d):
@@ -106,12 +110,12 @@ def duplicate_pair_ids(spark, d):
 
 
 def report_totals(spark, d):
-    raw = table(spark, d, "raw")
+    raw = _raw(spark, d)
     return audit.report_totals(pr.build_pairs(raw, POLICY), raw)
 
 
 def _counts(spark, d, key):
-    c = audit.report_counts(pr.build_pairs(table(spark, d, "raw"), POLICY))
+    c = audit.report_counts(pr.build_pairs(_raw(spark, d), POLICY))
     return c.where(F.col(key).isNotNull()).select(key, "pairs", "retained")
 
 
@@ -128,11 +132,11 @@ def report_by_type(spark, d):
 
 
 def report_exclusions(spark, d):
-    return audit.report_exclusions(pr.build_pairs(table(spark, d, "raw"), POLICY))
+    return audit.report_exclusions(pr.build_pairs(_raw(spark, d), POLICY))
 
 
 def report_preferred(spark, d):
-    return audit.report_preferred(pr.build_pairs(table(spark, d, "raw"), POLICY))
+    return audit.report_preferred(pr.build_pairs(_raw(spark, d), POLICY))
 
 
 def _delivered(spark, d):
@@ -171,11 +175,10 @@ def manifest_counts(spark, d):
 
 def _models(spark, d):
     """Two unigram models over one vocabulary: a baseline of the documents, a candidate of the chosen answers of the training split."""
-    docs = table(spark, d, "documents").select("text")
-    chosen = _delivered(spark, d).where("split = 'train'").select("chosen")
-    words = lambda df, c: df.select(F.explode(sc.tokens(F.col(c))).alias("token"))
-    v = words(docs, "text").unionByName(words(chosen, "chosen")).distinct()
-    return sc.UnigramScorer(docs, "text", v), sc.UnigramScorer(chosen, "chosen", v)
+    of_docs = land(sc.token_counts(table(spark, d, "documents"), "text"))
+    of_chosen = land(sc.token_counts(_delivered(spark, d).where("split = 'train'").select("chosen"), "chosen"))
+    v = land(of_docs.select("token").unionByName(of_chosen.select("token")).distinct())
+    return sc.UnigramScorer(vocabulary=v, counts=of_docs), sc.UnigramScorer(vocabulary=v, counts=of_chosen)
 
 
 def ngram_lm(spark, d):
@@ -196,8 +199,8 @@ def response_boundary(spark, d):
     return p.select("pair_id", sc.response_start(before, F.col("chosen")).alias("start"))
 
 
-def _details(spark, d, which):
-    return sc.score_pairs(selection.eligible(_delivered(spark, d), SPLIT, min_margin=0.10), _models(spark, d)[which], 150)
+def _details(spark, d, which, models=None):
+    return sc.score_pairs(selection.eligible(_delivered(spark, d), SPLIT, min_margin=0.10), (models or _models(spark, d))[which], 150)
 
 
 def pair_scores(spark, d):
@@ -208,8 +211,13 @@ def skip_reasons(spark, d):
     return sc.skip_reasons(_details(spark, d, 0))
 
 
-def _evaluated(spark, d, which=0):
-    return sc.evaluated(_details(spark, d, which))
+def _evaluated(spark, d, which=0, models=None):
+    return sc.evaluated(_details(spark, d, which, models))
+
+
+def _both(spark, d):
+    models = _models(spark, d)
+    return _evaluated(spark, d, 0, models), _evaluated(spark, d, 1, models)
 
 
 def eval_overall(spark, d):
@@ -229,15 +237,15 @@ def eval_by_margin_bucket(spark, d):
 
 
 def paired_id_audit(spark, d):
-    return audit.key_sets(_evaluated(spark, d, 0), _evaluated(spark, d, 1))
+    return audit.key_sets(*_both(spark, d))
 
 
 def token_parity_audit(spark, d):
-    return summary.token_mismatches(_evaluated(spark, d, 0), _evaluated(spark, d, 1))
+    return summary.token_mismatches(*_both(spark, d))
 
 
 def _relative(spark, d):
-    return summary.relative_details(_evaluated(spark, d, 0), _evaluated(spark, d, 1), BETA)
+    return summary.relative_details(*_both(spark, d), BETA)
 
 
 def relative_details(spark, d):
@@ -273,7 +281,7 @@ def mcnemar_exact(spark, d):
 
 
 def dpo_loss_mean(spark, d):
-    b, o = _evaluated(spark, d, 0).alias("b"), _evaluated(spark, d, 1).alias("o")
+    b, o = (x.alias(n) for x, n in zip(_both(spark, d), "bo"))
     return _r(b.join(o, "pair_id").select(dpo_loss(F.col("o.chosen_logprob_sum"), F.col("o.rejected_logprob_sum"), F.col("b.chosen_logprob_sum"), F.col("b.rejected_logprob_sum"), BETA).alias("loss")).agg(F.count("*").alias("n"), F.avg("loss").alias("mean_loss")))
 
 
