@@ -37,13 +37,13 @@ def check_comparable(base: DataFrame, other: DataFrame, beta: float) -> None:
     needed = {"pair_id", "prompt_id", "correct", "model_margin", "chosen_logprob_sum", "rejected_logprob_sum", "chosen_token_count", "rejected_token_count"}
     missing = sorted((needed - set(base.columns)) | (needed - set(other.columns)))
     if missing:
-        raise ValueError(f"The details lack fields that the comparison needs: {missing}")
+        raise ValueError(f"Columns that the comparison needs are missing: {missing}")
     check_unique(base)
     check_unique(other)
     check_same_keys(base, other)
     bad = token_mismatches(base, other).limit(1).collect()
     if bad:
-        raise ValueError(f"Tokenization differs between models for pair {bad[0]['pair_id']}")
+        raise ValueError(f"The two models disagree on the token counts of pair {bad[0]['pair_id']}")
 
 
 def token_mismatches(base: DataFrame, other: DataFrame) -> DataFrame:

@@ -6,19 +6,41 @@ is unset, as in local tests, a temporary folder is taken.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_landed: list[tuple[SparkSession, str]] = []
+
+
+def _own_dir() -> str:
+    made = tempfile.mkdtemp(prefix="prefloom-ckpt-")
+    atexit.register(shutil.rmtree, made, True)
+    return made
+
+
+@atexit.register
+def _remove_landed() -> None:
+    """Landed tables go when the driver ends; frames made from them may be read until then."""
+    for spark, path in _landed:
+        try:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # the session is gone, and its folder is the cluster's to clean
+            return
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder; also makes sure that ``checkpoint()`` writes there."""
     jsc = spark.sparkContext._jsc.sc()
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         have = jsc.getCheckpointDir()
-        found = have.get() if have.isDefined() else tempfile.mkdtemp(prefix="prefloom-ckpt-")
+        found = have.get() if have.isDefined() else _own_dir()
     if not jsc.getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -34,4 +56,5 @@ def land(df: DataFrame) -> DataFrame:
     """``df``, written once as parquet to the shared folder and read again (columns; for steps that are read repeatedly)."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/prefloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _landed.append((df.sparkSession, path))
     return df.sparkSession.read.schema(df.schema).parquet(path)

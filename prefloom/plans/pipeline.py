@@ -61,7 +61,7 @@ def evaluate(pairs: DataFrame, scorer: UnigramScorer, split: str = "validation",
         raise ValueError("The test split is locked; pass allow_test=True for the final evaluation")
     rows = selection.eligible(pairs, split, confidence, min_margin)
     if rows.isEmpty():
-        raise ValueError("No eligible pairs matched the requested evaluation split and filters")
+        raise ValueError("No pair of this split passes the filters of the evaluation")
     scored = score_pairs(rows, scorer, max_length)
     details = evaluated(scored)
     flat = lambda df, key: {r[key]: {k: v for k, v in r.asDict().items() if k != key} for r in df.orderBy(key).collect()}  # noqa: E731  # a few groups

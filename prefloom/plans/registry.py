@@ -212,7 +212,7 @@ def skip_reasons(spark, d):
 
 
 def _evaluated(spark, d, which=0, models=None):
-    return sc.evaluated(_details(spark, d, which, models))
+    return land(sc.evaluated(_details(spark, d, which, models)))  # read by several aggregates
 
 
 def _both(spark, d):

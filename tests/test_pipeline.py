@@ -41,7 +41,7 @@ def test_run(spark, tmp_path):
         pipeline.training_view(pairs, max_length=1)
     with pytest.raises(ValueError, match="locked"):
         pipeline.evaluate(pairs, None, "test")
-    with pytest.raises(ValueError, match="No eligible pairs"):
+    with pytest.raises(ValueError, match="passes the filters"):
         pipeline.evaluate(pairs, None, "validation", min_margin=99.0)
     with pytest.raises(ValueError, match="Prompt leakage"):
         pipeline.training_view(pairs.unionByName(pairs.withColumn("split", F.lit("test"))))
