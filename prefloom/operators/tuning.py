@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Sequence
+from itertools import product
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -29,6 +31,19 @@ def with_schedule(candidates: DataFrame, pairs: str, batch: str, epochs: str, ra
     return candidates.withColumn("updates", updates).withColumn("warmup", F.greatest(F.lit(1).cast("bigint"), F.bround(F.col("updates") * F.col(ratio), 0).cast("bigint")))
 
 
+def grid(spark: SparkSession, **choices: Sequence) -> DataFrame:
+    """One candidate per combination of the given settings, numbered in order; settings are few, so the list is made on the driver."""
+    names = list(choices)
+    rows = [(f"c{k:03}", *map(float, combo)) for k, combo in enumerate(product(*choices.values()))]
+    return spark.createDataFrame(rows, "candidate string, " + ", ".join(f"{n} double" for n in names))
+
+
+def to_train(candidates: DataFrame, finished: DataFrame, settings: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """(open, done): candidates without and with a finished, complete run of exactly the same settings, which is used again."""
+    complete = finished.where("complete").select(*settings).distinct()
+    return candidates.join(complete, list(settings), "left_anti"), candidates.join(complete, list(settings), "left_semi")
+
+
 def policy_fingerprint(policy: dict) -> str:
     """First 12 hex digits of the SHA-256 of the policy as JSON with sorted keys."""
     return hashlib.sha256(json.dumps(policy, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()[:12]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import asdict
+
 from pyspark.sql import functions as F
 
 from prefloom.functions.stats import dpo_loss
@@ -335,6 +337,19 @@ def tuning_warmup(spark, d):
     return tuning.with_schedule(t, "n", "batch", "epochs", "ratio").select("candidate", "n", "updates", "warmup")
 
 
+def policy_fingerprint(spark, d):
+    """What identifies a run under the policy of these queries, beside the number of its records."""
+    f = tuning.policy_fingerprint(asdict(POLICY))
+    return table(spark, d, "raw").agg(F.count("*").alias("records")).select(F.lit(f).alias("fingerprint"), "records")
+
+
+def tuning_grid(spark, d):
+    """Open candidates of a grid, when those of the lower learning rate are finished."""
+    g = tuning.grid(spark, learning_rate=(1e-7, 5e-7), epochs=(1, 2), beta=(0.05, 0.1))
+    done = g.where("learning_rate < 2e-7").withColumn("complete", F.col("epochs") == 1)
+    return tuning.to_train(g, done, ["learning_rate", "epochs", "beta"])[0]
+
+
 def table_fingerprint(spark, d):
     return tuning.table_fingerprint(table(spark, d, "dpo_pairs"), "pair_id", "prompt_id", "split")
 
@@ -343,7 +358,7 @@ QUERIES = {f.__name__: f for f in (
     p3_found, p3_tables, judge_scores, expected_judges, attempt_scores, prompt_normalize, prompt_ids, prompt_split, split_shares, response_combinations, pair_metrics, pair_side_scores, preferred_agreement, pair_exclusions, pairs_full,
     leakage_audit, leakage_audit_violations, duplicate_pair_ids, report_totals, report_by_split, report_by_confidence, report_by_type, report_exclusions, report_preferred, train_eligible, eval_eligible, train_capped, train_within_length, train_messages,
     manifest_counts, ngram_lm, response_logprobs, response_boundary, pair_scores, skip_reasons, eval_overall, eval_by_confidence, eval_by_type, eval_by_margin_bucket, paired_id_audit, token_parity_audit, relative_details, compare_primary,
-    compare_secondary, compare_behavior, final_results, mcnemar_exact, dpo_loss_mean, bootstrap_hashed, bootstrap_exact_mt, bootstrap_poisson, tensor_change, tuning_rank, tuning_winner, tuning_warmup, table_fingerprint)}
+    compare_secondary, compare_behavior, final_results, mcnemar_exact, dpo_loss_mean, bootstrap_hashed, bootstrap_exact_mt, bootstrap_poisson, tensor_change, tuning_rank, tuning_winner, tuning_warmup, policy_fingerprint, tuning_grid, table_fingerprint)}
 QUERIES |= {"bootstrap_accuracy": _interval("implicit_reward_correct", 42), "bootstrap_margin": _interval("implicit_reward_margin", 43), "bootstrap_delta": _interval("absolute_accuracy_delta", 44)}
 
 from prefloom.plans.sql import SQL  # noqa: E402,F401

@@ -206,6 +206,9 @@ SELECT param, count(*) AS numel, bool_and(d = 0) AS exactly_equal, count(*) FILT
     "tuning_rank": _CAND + "SELECT candidate, metric, margin, loss, row_number() OVER (ORDER BY metric DESC NULLS LAST, margin DESC NULLS LAST, loss ASC NULLS LAST, candidate) AS place FROM cand",
     "tuning_winner": _CAND + "SELECT candidate, n, metric, margin, loss FROM cand ORDER BY metric DESC NULLS LAST, margin DESC NULLS LAST, loss ASC NULLS LAST, candidate LIMIT 1",
     "tuning_warmup": _CAND + "SELECT candidate, n, (ceil(n / 8.0) * 2)::BIGINT AS updates, greatest(1, round_even((ceil(n / 8.0) * 2)::DOUBLE * 0.1::DOUBLE, 0)::BIGINT)::BIGINT AS warmup FROM cand",
+    "policy_fingerprint": """SELECT substring(sha256('{"min_common_judges":2,"min_confidence":0.6,"min_margin":0.1,"score_span":4.0,"seed":42,"train_share":0.7,"validation_share":0.15}'), 1, 12) AS fingerprint, count(*) AS records FROM raw""",
+    "tuning_grid": """WITH g AS (SELECT lr.v AS learning_rate, ep.v AS epochs, be.v AS beta FROM (VALUES (1e-7::DOUBLE), (5e-7)) lr(v), (VALUES (1.0::DOUBLE), (2.0)) ep(v), (VALUES (0.05::DOUBLE), (0.1)) be(v)),
+n AS (SELECT 'c' || lpad((row_number() OVER (ORDER BY learning_rate, epochs, beta) - 1)::VARCHAR, 3, '0') AS candidate, * FROM g) SELECT * FROM n WHERE NOT (learning_rate < 2e-7 AND epochs = 1)""",
     "p3_found": r"""
 WITH j AS (SELECT row_no, payload::JSON AS d FROM raw_json WHERE json_valid(payload)),
 r AS (SELECT row_no, CASE WHEN json_extract(d, '$.evaluations') IS NULL AND json_type(d, '$.record') = 'OBJECT' THEN json_extract(d, '$.record.evaluations') ELSE json_extract(d, '$.evaluations') END AS e FROM j WHERE json_type(d) = 'OBJECT'),

@@ -276,6 +276,10 @@ def test_tensors_and_tuning(spark):
     assert [r["candidate"] for r in tuning.ranked(c, "m", "g", "l", "candidate").collect()] == ["b", "a", "d", "c"]
     w = tuning.with_schedule(spark.createDataFrame([(17, 8, 1.5, 0.25), (1, 8, 1.0, 0.1)], "n int, b int, e double, r double"), "n", "b", "e", "r").collect()
     assert [(x["updates"], x["warmup"]) for x in w] == [(6, 2), (1, 1)]
+    g = tuning.grid(spark, lr=(1e-7, 5e-7), beta=(0.1, 0.2))
+    fin = spark.createDataFrame([(1e-7, 0.1, True), (5e-7, 0.1, False)], "lr double, beta double, complete boolean")
+    todo, done = tuning.to_train(g, fin, ["lr", "beta"])
+    assert {r["candidate"] for r in todo.collect()} == {"c001", "c002", "c003"} and {r["candidate"] for r in done.collect()} == {"c000"}
     assert tuning.policy_fingerprint({"b": 1, "a": 2}) == tuning.policy_fingerprint({"a": 2, "b": 1})
     f = tuning.table_fingerprint(base).first()
     assert f == tuning.table_fingerprint(base.repartition(3)).first() and f != tuning.table_fingerprint(moved).first()
