@@ -146,6 +146,26 @@ est AS (SELECT rep, sum(v.m) / max(p.p) AS e FROM dr JOIN v USING (i), p GROUP B
 SELECT {_r(f'max(CASE WHEN k = {lo} THEN e END)', 'lo')}, {_r(f'max(CASE WHEN k = {hi} THEN e END)', 'hi')} FROM o HAVING count(*) > 0"""
 
 
+# the nested tables: every shape of the payloads, and the typed column
+NESTED = r"""
+WITH j AS (SELECT row_no, payload::JSON AS d FROM raw_json WHERE json_valid(payload)),
+r AS (SELECT row_no, CASE WHEN json_extract(d, '$.evaluations') IS NULL AND json_type(d, '$.record') = 'OBJECT' THEN json_extract(d, '$.record.evaluations') ELSE json_extract(d, '$.evaluations') END AS e FROM j WHERE json_type(d) = 'OBJECT'),
+o AS (SELECT row_no, CASE WHEN json_type(e) = 'VARCHAR' AND json_valid(e ->> '$') THEN (e ->> '$')::JSON ELSE e END AS e FROM r),
+k AS (SELECT row_no, e, unnest(json_keys(e)) AS source FROM o WHERE json_type(e) = 'OBJECT'),
+l AS (SELECT row_no, unnest(from_json(e, '["JSON"]')) AS b FROM o WHERE json_type(e) = 'ARRAY'),
+s AS (SELECT row_no, source, json_extract(e, '$."' || source || '"') AS b FROM k UNION ALL SELECT row_no, b ->> '$.source', b FROM l WHERE json_type(b) = 'OBJECT'),
+g AS (SELECT row_no, source, json_extract(b, '$.judgments') AS g FROM s WHERE json_type(b) = 'OBJECT'),
+gl AS (SELECT row_no, source, CASE json_type(g) WHEN 'ARRAY' THEN from_json(g, '["JSON"]') WHEN 'OBJECT' THEN [g] END AS x FROM g),
+jd AS (SELECT row_no, source, unnest(x) AS t, generate_subscripts(x, 1) - 1 AS judgment_no FROM gl),
+sc AS (SELECT row_no, source, judgment_no, json_extract(t, '$.scores') AS s FROM jd WHERE json_type(t) = 'OBJECT'),
+sl AS (SELECT row_no, source, judgment_no, CASE WHEN json_type(s) = 'ARRAY' THEN from_json(s, '["JSON"]') WHEN json_type(s) <> 'NULL' THEN [s] END AS x FROM sc),
+en AS (SELECT row_no, source, judgment_no, unnest(x) AS v, generate_subscripts(x, 1) - 1 AS score_no FROM sl),
+nm AS (SELECT row_no, source, judgment_no, score_no, CASE WHEN json_type(v) = 'OBJECT' THEN json_extract(v, '$.judge_score') ELSE v END AS v FROM en),
+ev AS (SELECT row_no, unnest(map_entries(evaluations)) AS m FROM raw),
+ej AS (SELECT row_no, m.key AS source, unnest(m.value.judgments) AS q, generate_subscripts(m.value.judgments, 1) - 1 AS judgment_no FROM ev),
+es AS (SELECT row_no, source, judgment_no, unnest(q.scores) AS z, generate_subscripts(q.scores, 1) - 1 AS score_no FROM ej)
+"""
+
 _CAND = """WITH g AS (SELECT c_mktsegment || ':' || n_regionkey AS candidate, count(*) AS n, round(avg(c_acctbal), -1) AS metric, round(median(c_acctbal), 2) AS margin, round(stddev_pop(c_acctbal), 2) AS loss FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1),
 cand AS (SELECT candidate, n, CASE WHEN n % 7 = 0 THEN NULL ELSE metric END AS metric, margin, loss FROM g) """
 _lo, _hi = _wilson("sum((im > 0)::INT)", "count(*)")
@@ -209,23 +229,11 @@ SELECT param, count(*) AS numel, bool_and(d = 0) AS exactly_equal, count(*) FILT
     "policy_fingerprint": """SELECT substring(sha256('{"min_common_judges":2,"min_confidence":0.6,"min_margin":0.1,"score_span":4.0,"seed":42,"train_share":0.7,"validation_share":0.15}'), 1, 12) AS fingerprint, count(*) AS records FROM raw""",
     "tuning_grid": """WITH g AS (SELECT lr.v AS learning_rate, ep.v AS epochs, be.v AS beta FROM (VALUES (1e-7::DOUBLE), (5e-7)) lr(v), (VALUES (1.0::DOUBLE), (2.0)) ep(v), (VALUES (0.05::DOUBLE), (0.1)) be(v)),
 n AS (SELECT 'c' || lpad((row_number() OVER (ORDER BY learning_rate, epochs, beta) - 1)::VARCHAR, 3, '0') AS candidate, * FROM g) SELECT * FROM n WHERE NOT (learning_rate < 2e-7 AND epochs = 1)""",
-    "p3_found": r"""
-WITH j AS (SELECT row_no, payload::JSON AS d FROM raw_json WHERE json_valid(payload)),
-r AS (SELECT row_no, CASE WHEN json_extract(d, '$.evaluations') IS NULL AND json_type(d, '$.record') = 'OBJECT' THEN json_extract(d, '$.record.evaluations') ELSE json_extract(d, '$.evaluations') END AS e FROM j WHERE json_type(d) = 'OBJECT'),
-o AS (SELECT row_no, CASE WHEN json_type(e) = 'VARCHAR' AND json_valid(e ->> '$') THEN (e ->> '$')::JSON ELSE e END AS e FROM r),
-k AS (SELECT row_no, e, unnest(json_keys(e)) AS source FROM o WHERE json_type(e) = 'OBJECT'),
-l AS (SELECT row_no, unnest(from_json(e, '["JSON"]')) AS b FROM o WHERE json_type(e) = 'ARRAY'),
-s AS (SELECT row_no, source, json_extract(e, '$."' || source || '"') AS b FROM k UNION ALL SELECT row_no, b ->> '$.source', b FROM l WHERE json_type(b) = 'OBJECT'),
-g AS (SELECT row_no, source, json_extract(b, '$.judgments') AS g FROM s WHERE json_type(b) = 'OBJECT'),
-gl AS (SELECT row_no, source, CASE json_type(g) WHEN 'ARRAY' THEN from_json(g, '["JSON"]') WHEN 'OBJECT' THEN [g] END AS x FROM g),
-jd AS (SELECT row_no, source, unnest(x) AS t, generate_subscripts(x, 1) - 1 AS judgment_no FROM gl),
-sc AS (SELECT row_no, source, judgment_no, json_extract(t, '$.scores') AS s FROM jd WHERE json_type(t) = 'OBJECT'),
-sl AS (SELECT row_no, source, judgment_no, CASE WHEN json_type(s) = 'ARRAY' THEN from_json(s, '["JSON"]') WHEN s IS NOT NULL THEN [s] END AS x FROM sc),
-en AS (SELECT row_no, source, judgment_no, unnest(x) AS v, generate_subscripts(x, 1) - 1 AS score_no FROM sl),
-nm AS (SELECT row_no, source, judgment_no, score_no, CASE WHEN json_type(v) = 'OBJECT' THEN json_extract(v, '$.judge_score') ELSE v END AS v FROM en),
-ev AS (SELECT row_no, unnest(map_entries(evaluations)) AS m FROM raw),
-ej AS (SELECT row_no, m.key AS source, unnest(m.value.judgments) AS q, generate_subscripts(m.value.judgments, 1) - 1 AS judgment_no FROM ev),
-es AS (SELECT row_no, source, judgment_no, unnest(q.scores) AS z, generate_subscripts(q.scores, 1) - 1 AS score_no FROM ej)
+    "p3_found": NESTED + """
 SELECT DISTINCT 'raw' AS origin, row_no, source, judgment_no::INT AS judgment_no, score_no::INT AS score_no FROM es WHERE isfinite(z.judge_score)
 UNION ALL SELECT DISTINCT 'raw_json', row_no, source, judgment_no::INT, score_no::INT FROM nm WHERE json_type(v) IN ('UBIGINT', 'BIGINT', 'DOUBLE', 'HUGEINT') AND isfinite((v ->> '$')::DOUBLE)""",
+    "p3_tables": NESTED + """
+, c AS (SELECT 'raw' AS origin, 'evaluations.*' AS path, row_no FROM ev UNION ALL SELECT 'raw', 'evaluations.*.judgments[]', row_no FROM ej WHERE q IS NOT NULL UNION ALL SELECT 'raw', 'evaluations.*.judgments[].scores[]', row_no FROM es
+UNION ALL SELECT 'raw_json', 'evaluations.*', row_no FROM s UNION ALL SELECT 'raw_json', 'evaluations.*.judgments[]', row_no FROM sc UNION ALL SELECT 'raw_json', 'evaluations.*.judgments[].scores[]', row_no FROM en)
+SELECT origin, path, count(*) AS n_rows, count(DISTINCT row_no) AS n_records, 0::BIGINT AS orphans FROM c GROUP BY origin, path""",
 }
