@@ -198,6 +198,13 @@ def test_cross_split(spark):
     df = spark.createDataFrame(rows + [("q1", "train", None, "r", 1, "n"), ("q2", "test", " ", "r", 1, "n"), (None, "test", rows[0][2], "r", 1, "n")], PAIRS).repartition(6)
     got = {tuple(r) for r in cross_split.pairs_found(df).collect()}
     assert got == want and len(want) > 40
+    # many small pieces: neighbours mostly lie across their edges
+    usual = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "60")
+    try:
+        assert {tuple(r) for r in cross_split.pairs_found(df).collect()} == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", usual)
     assert cross_split.pairs_found(df.limit(0)).count() == 0
     raw = spark.createDataFrame([("r", "c")], "id string, collection string")
     rep = cross_split.report(df, raw).collect()
