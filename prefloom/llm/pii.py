@@ -6,10 +6,11 @@ is and how likely each pattern is right; these probabilities train a logistic cl
 span and its surroundings, which decides every span.
 
 What is fitted: reliabilities on the vote patterns of all spans (the patterns, not the rows, go to the driver: at most 3 to the
-number of labelers); given names that stand before family names, on at most ``sample_docs`` documents; classifier weights on at
-most ``sample_spans`` spans per type. Both samples are taken by hash of the id. Everything else covers all documents.
+number of labelers); classifier weights on at most ``sample_spans`` spans per type, a sample taken by hash of the id. Everything
+else covers all documents, also the count of given names that stand before family names.
 
-Gazetteers: given and family names of the roster (a table of fixed size, checked against ``max_roster``). Family names are
+Gazetteers: given and family names of the roster (a table of fixed size, checked against ``max_roster``), and given names counted before
+family names (checked against ``max_given``). Family names are
 also recognised by their parts: beginnings and endings that recur among the roster's family names, in any combination.
 
 Defined cases: null and empty texts have no spans; offsets count code points of the stored text; overlapping spans: the
@@ -442,7 +443,50 @@ def _sampled(df: DataFrame, id_col: str, bound: int, seed: int, rows: int) -> Da
     return df.withColumn("_h", h).where(F.col("_h") < int(share * 2**40)).orderBy("_h", id_col).limit(bound).drop("_h")
 
 
-def mentions(documents: DataFrame, roster: DataFrame, sample_docs: int = 5000, sample_spans: int = 20_000, max_roster: int = 100_000) -> DataFrame:
+def _before_family(names: Names):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, seen, known = Counter(), Counter(), {}
+
+        def family(w: str) -> bool:
+            if w not in known:
+                known[w] = names.is_family(w)
+            return known[w]
+
+        for b in batches:
+            for t in b["text"]:
+                if letter_case(t) != "mixed":
+                    continue
+                x, end = "", 0  # the capitalised word before
+                for m in _TOKEN.finditer(t):
+                    w = m.group()
+                    if not w[0].isupper():
+                        x = ""
+                        continue
+                    if x and m.start() == end + 1 and t[end] == " " and len(w) > 4 and family(w) and not family(x):
+                        n[plain(x)] += 1
+                    x, end = w if len(w) > 2 and w[1:].islower() else "", m.end()
+                    if x:
+                        seen[x] += 1
+        total: Counter = Counter()
+        for w, c in seen.items():
+            total[plain(w)] += c
+        total = {w: c for w, c in total.items() if w not in TITLES and w not in _NO_GIVEN}
+        yield pd.DataFrame({"name": list(total), "n": [n[w] for w in total], "seen": list(total.values())}).astype({"name": "object", "n": "int64", "seen": "int64"})
+
+    return run
+
+
+def given_names(docs: DataFrame, names: Names, max_given: int) -> frozenset[str]:
+    """Words that stand before family names, counted over all documents: three times or more, and in at least one of 300 of their
+    capitalised places. The share is the same however large the table is, where chance alone would pass any fixed count."""
+    n = docs.mapInPandas(_before_family(names), "name string, n bigint, seen bigint").groupBy("name").agg(F.sum("n").alias("n"), F.sum("seen").alias("seen"))
+    more = n.where("n >= 3 and n * 300 >= seen").select("name").limit(max_given + 1).collect()
+    if len(more) > max_given:
+        raise ValueError(f"more than {max_given} given names stand before family names: too large a gazetteer to send to every task")
+    return frozenset(r["name"] for r in more)
+
+
+def mentions(documents: DataFrame, roster: DataFrame, sample_spans: int = 20_000, max_roster: int = 100_000, max_given: int = 500_000) -> DataFrame:
     """doc_id, pii_type, s, e (code points, end exclusive), p of every mention."""
     people = roster.select("given_name", "family_name").distinct().limit(max_roster + 1).collect()
     if len(people) > max_roster:
@@ -450,19 +494,7 @@ def mentions(documents: DataFrame, roster: DataFrame, sample_docs: int = 5000, s
     names = Names({r[0] for r in people if r[0]}, {r[1] for r in people if r[1]})
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null and text is not null and text <> ''")
 
-    def before_family(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n: Counter = Counter()
-        for b in batches:
-            for t in b["text"]:
-                if letter_case(t) == "mixed":
-                    ws = [(m.group(), m.start(), m.end()) for m in _TOKEN.finditer(t)]
-                    for (x, _, e), (y, s, _) in zip(ws, ws[1:]):
-                        if y[0].isupper() and x[0].isupper() and x[1:].islower() and t[e:s] == " " and len(x) > 2 and len(y) > 4 and plain(x) not in TITLES and plain(x) not in _NO_GIVEN and names.is_family(y) and not names.is_family(x):
-                            n[plain(x)] += 1
-        yield pd.DataFrame({"name": list(n), "n": list(n.values())}).astype({"name": "object", "n": "int64"})
-
-    more = _sampled(docs, "doc_id", sample_docs, 1, docs.count()).mapInPandas(before_family, "name string, n bigint").groupBy("name").agg(F.sum("n").alias("n")).where("n >= 3").collect()
-    names = Names({r[0] for r in people if r[0]}, {r[1] for r in people if r[1]}, frozenset(r["name"] for r in more))
+    names = Names({r[0] for r in people if r[0]}, {r[1] for r in people if r[1]}, given_names(docs, names, max_given))
     proposed = land(docs.mapInPandas(_propose(names), _COLS))
     patterns = defaultdict(list)
     for r in proposed.groupBy("pii_type", "votes").count().collect():  # at most 3 ** labelers patterns a type

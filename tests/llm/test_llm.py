@@ -417,6 +417,21 @@ def test_pii_recall_and_precision(spark):
     assert red[untouched]["text"].count("[") >= sum(x[0] == untouched for x in truth)
 
 
+def test_pii_given_names_are_counted_over_all_documents(spark):
+    n = 20_000
+    named = {7: "I talked to Ilvara Bramelius about the batch.", 5007: "Later Ilvara Gorslund read the notes.", 11007: "We asked Ilvara Haldmont to stay.", 17007: "Here Ilvara Fennmont wrote the rest."}
+    rows = [(i, named.get(i, "Meanwhile the batch was read again and nothing else changed.")) for i in range(n)] + [(n, "thanks to ilvara bramelius for the careful notes")]
+    roster = spark.createDataFrame(people(), "given_name string, family_name string")
+    got = {tuple(r) for r in pii.found(spark.createDataFrame(rows, "doc_id bigint, text string"), roster).collect()}
+    assert (n, "person_name", 10) in got
+    # a common word that stands there by chance is none, however large the table is
+    chance = [(i, "Meanwhile Bramelius slept." if i < 5 else "Meanwhile the batch was read again.") for i in range(2000)]
+    names = pii.Names(*({x for x in c if x} for c in zip(*people())))
+    assert pii.given_names(spark.createDataFrame(rows + chance, "doc_id bigint, text string"), names, 10) == {"ilvara"}
+    with pytest.raises(ValueError, match="given names"):
+        pii.given_names(spark.createDataFrame(rows, "doc_id bigint, text string"), names, 0)
+
+
 def test_pii_edges(spark):
     roster = spark.createDataFrame(people() + [(None, None)], "given_name string, family_name string")
     docs = spark.createDataFrame([(1, None), (2, ""), (None, "Call 212-555-0100."), (3, "𝔘𝔫𝔦 🌱 mail a.b@c.example now"), (4, "x" * 50_000)], "doc_id bigint, text string")
