@@ -15,6 +15,8 @@ spans are merged into the coverage of each record.
    links that can't reach the similarity go at once.
 4. Links are checked on the texts: the shared words (as multisets, so moved sentences don't matter) are at least ``similarity`` of
    both, and no name is exchanged (see ``same_names``).
+   A neighbour that fails must not end the search: texts of two splits that share a name (or, without names, the first words of a
+   suffix) and whose maps allow it are linked wherever they stand, by an exact join (see ``_beyond_neighbours``).
 5. Checked links are joined into classes by minimum-label propagation, since copies of one request follow each other in the array
    but need not all be direct neighbours. Within a class each text of the train split is checked against each of the others.
 
@@ -176,16 +178,16 @@ def sketch(texts: DataFrame) -> np.ndarray:
 def _normalised(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         ws = [words(p) for p in b["prompt"]]
-        yield pd.DataFrame({"ph": b["ph"], "norm": [" ".join(w) for w in ws], "names": [names_in(p) for p in b["prompt"]], "train": b["train"], "held": b["held"]})
+        maps = [_bits(w) for w in ws]
+        yield pd.DataFrame({"ph": b["ph"], "norm": [" ".join(w) for w in ws], "names": [names_in(p) for p in b["prompt"]], "train": b["train"], "held": b["held"], "size": [len(w) for w in ws], "lo": [m[0] for m in maps], "hi": [m[1] for m in maps]})
 
 
 def _suffixes(window: int, shared):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out, counts = [], shared.value
-            for tid, norm in zip(b["tid"], b["norm"]):
+            for tid, norm, lo, hi in zip(b["tid"], b["norm"], b["lo"], b["hi"]):
                 ws = norm.split(" ")
-                lo, hi = _bits(ws)
                 starts, at = [], 0
                 for w in ws:
                     starts.append(at)
@@ -253,6 +255,7 @@ def _frame(rows: list, cols: list[str]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=cols, dtype=object)
 
 
+_SUFFIX = "suffix string, tid bigint, size int, lo bigint, hi bigint"
 _SCANNED = "a bigint, b bigint, n int, edge int, part int, suffix string, size int, lo bigint, hi bigint"
 
 
@@ -288,15 +291,47 @@ def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "norm_a", "norm_b", "names_a", "names_b")
 
 
+def _sorted_letters(ws):
+    return F.transform(ws, lambda w: F.array_join(F.sort_array(F.split(w, "")), ""))
+
+
+def _beyond_neighbours(texts: DataFrame, window: int, span: int, sim: float, shared) -> DataFrame:
+    """a, b: the texts of two splits that may pass the check wherever they stand in the array, joined on what the check asks for.
+
+    A pair of which a text shows names needs one of these in the other text: names meet adjacent words, each word by its letters in
+    order, which a swap leaves as they are. Where neither shows any, suffixes meet that begin with the same ``span`` words. Texts of
+    the same words in another order pass always and meet in the first of them. No partner is left out, however often a name stands;
+    maps of words that differ too much go inside the join, which AQE can split.
+    """
+    cols = ["tid", "size", "lo", "hi", "train", "held"]
+    ws = _sorted_letters(F.split("norm", " "))
+    grams = texts.where("size > 1").select(*cols, ws.alias("w")).select(*cols, F.explode(F.array_distinct(F.zip_with(F.expr("slice(w, 1, size - 1)"), F.expr("slice(w, 2, size - 1)"), lambda x, y: F.xxhash64(x, y)))).alias("key"))
+    named = (texts.where("names <> ''").select(*cols, F.explode(F.split("names", r"\|")).alias("name")).select(*cols, _sorted_letters(F.split("name", " ")).alias("w"))
+             .select(*cols, F.xxhash64(F.col("w")[0], F.col("w")[1]).alias("key")).distinct())
+    plain = texts.where("names is null or names = ''")
+    starts = (plain.select("tid", "norm", "lo", "hi").mapInPandas(_suffixes(window, shared), _SUFFIX)
+              .select("tid", F.xxhash64(F.substring_index("suffix", " ", span)).alias("key")).distinct().join(plain.select(*cols), "tid"))
+
+    def met(x: DataFrame, y: DataFrame) -> DataFrame:
+        j = x.alias("x").join(y.alias("y"), F.expr(
+            "x.key = y.key and x.tid <> y.tid and (x.train = 1 and y.held = 1 or x.held = 1 and y.train = 1) "
+            f"and bit_count(x.lo ^ y.lo) + bit_count(x.hi ^ y.hi) <= {1 - sim!r}D * (x.size + y.size)"))
+        return j.select(F.least("x.tid", "y.tid").alias("a"), F.greatest("x.tid", "y.tid").alias("b"))
+
+    bags = texts.select("tid", F.xxhash64(F.sort_array(F.split("norm", " "))).alias("bag"))
+    moved = bags.join(bags.groupBy("bag").agg(F.min("tid").alias("a")), "bag").where("a <> tid").select("a", F.col("tid").alias("b"))
+    return met(named, grams).unionByName(met(starts, starts)).unionByName(moved)
+
+
 def overlaps(pairs: DataFrame, window: int = 5, span: int = 2, sim: float = 0.7) -> tuple[DataFrame, DataFrame]:
     """(members, found): members has tid, pair_id, split; found has a (train text), b (other split's text) and covered (share of b's words)."""
     rows = (pairs.select("pair_id", split_name(F.col("split")).alias("split"), "prompt").where("prompt is not null and pair_id is not null")
             .where(F.col("split").isin("train", "validation", "test")).withColumn("ph", F.xxhash64("prompt")))
     prompts = rows.groupBy("ph").agg(F.first("prompt").alias("prompt"), F.max((F.col("split") == "train").cast("int")).alias("train"), F.max((F.col("split") != "train").cast("int")).alias("held"))
-    known = land(prompts.mapInPandas(_normalised, "ph bigint, norm string, names string, train int, held int").where("norm <> ''").withColumn("tid", F.xxhash64("norm")))
-    texts = land(known.groupBy("tid").agg(F.first("norm").alias("norm"), F.max("names").alias("names"), F.max("train").alias("train"), F.max("held").alias("held")))
+    known = land(prompts.mapInPandas(_normalised, "ph bigint, norm string, names string, train int, held int, size int, lo bigint, hi bigint").where("norm <> ''").withColumn("tid", F.xxhash64("norm")))
+    texts = land(known.groupBy("tid").agg(F.first("norm").alias("norm"), F.max("names").alias("names"), F.max("train").alias("train"), F.max("held").alias("held"), *[F.first(c).alias(c) for c in ("size", "lo", "hi")]))
     shared = pairs.sparkSession.sparkContext.broadcast(sketch(texts))
-    array = (texts.select("tid", "norm").mapInPandas(_suffixes(window, shared), "suffix string, tid bigint, size int, lo bigint, hi bigint"))
+    array = texts.select("tid", "norm", "lo", "hi").mapInPandas(_suffixes(window, shared), _SUFFIX)
     n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     scanned = land(array.repartitionByRange(n, "suffix", "tid").sortWithinPartitions("suffix", "tid").mapInPandas(_scan(span, sim), _SCANNED))
     # two rows a piece: their number is that of the pieces
@@ -304,7 +339,7 @@ def overlaps(pairs: DataFrame, window: int = 5, span: int = 2, sim: float = 0.7)
     ends = scanned.where("edge is not null")
     nexts = ends.select("*", *[F.lead(c).over(order).alias(f"{c}2") for c in ("suffix", "a", "size", "lo", "hi", "part")]).where("edge = 1 and part2 is not null")
     across = nexts.select("suffix", "a", "size", "lo", "hi", "suffix2", "a2", "size2", "lo2", "hi2").mapInPandas(_edges(span, sim), "a bigint, b bigint, n int")
-    links = scanned.where("edge is null").select("a", "b", "n").unionByName(across).select("a", "b").distinct()
+    links = scanned.where("edge is null").select("a", "b", "n").unionByName(across).select("a", "b").unionByName(_beyond_neighbours(texts, window, span, sim, shared)).distinct()
     good = land(_with_texts(links, texts).mapInPandas(_checked(window, sim), "a bigint, b bigint, covered double").select("a", "b"))
     ends2 = good.select("a", "b", F.xxhash64("a", "b").alias("entity"))
     classes = components(ends2.select(F.col("a").alias("tid"), "entity").unionByName(ends2.select(F.col("b").alias("tid"), "entity")), "tid")

@@ -211,6 +211,25 @@ def test_cross_split(spark):
     assert sum(r["n_pairs"] for r in rep) == sum(side(r[1]) not in (None, "train") and bool(r[2].strip()) for r in rows) and {r["source"] for r in rep} == {"c"}
 
 
+def test_cross_split_goes_past_refused_neighbours(spark):
+    """Hundreds of texts about one hot name, and copies with four numbers changed or a text turned to lower case: all pairs, as brute force has them."""
+    rnd = random.Random(6)
+    vocabulary = ["".join(rnd.choice("bdfgklmnprst") + rnd.choice("aeiou") for _ in range(3)) for _ in range(300)]
+    pools = [[" ".join(rnd.choice(vocabulary) for _ in range(8)) + f" {i} {rnd.randint(10, 99)}" for i in range(30)] for _ in range(4)]
+    base = ["In the Veld Norr team " + " ".join(rnd.choice(p) for p in pools) for _ in range(450)]
+    changed = lambda t: re.sub(r"\d{2}\b", lambda m: str(rnd.randint(100, 999)), t)
+    prompts = [(t, "train") for t in base] + [(changed(t), "test") for t in base[:80]] + [(changed(t).lower(), "test") for t in base[80:100]] + [(t.lower(), "validation") for t in base[100:110]]
+    df = spark.createDataFrame([(f"p{i}", s, p, "r", 1, "n") for i, (p, s) in enumerate(prompts)], PAIRS)
+    w, names = [words(p) for p, _ in prompts], [cross_split.names_in(p) for p, _ in prompts]
+    want = set()
+    for i, j in itertools.product(range(450), range(450, len(prompts))):
+        alike = cross_split.similarity(w[i], w[j])
+        if alike == 1 or alike >= 0.7 and cross_split.same_names(w[i], w[j], names[i], names[j]):
+            want.add((min(f"p{i}", f"p{j}"), max(f"p{i}", f"p{j}")))
+    got = {tuple(r) for r in cross_split.pairs_found(df).collect()}
+    assert got == want and len(want) >= 110
+
+
 def test_winnowing_guarantee():
     rnd = random.Random(5)
     for _ in range(200):
