@@ -1,8 +1,8 @@
 """Scoring pairs by log-probability.
 
 A scorer is anything that gives, for each distinct (prompt, response), the number of response tokens and the sum of their
-log-probabilities. The built-in one is an add-one unigram language model in plain relational operators; a neural scorer plugs in
-as a function over Arrow batches (``batch_scorer``), which loads its model once per Python worker.
+log-probabilities. The built-in one is an add-one unigram language model in plain relational operators; ``batch_scorer`` makes
+one of a function over Arrow batches, which loads its model once per Python worker. ``score_pairs`` takes the built-in one only.
 """
 
 from __future__ import annotations
