@@ -151,12 +151,26 @@ def test_copies_against_brute_force(spark, fit):
     assert copies.copies_found(df.limit(0)).count() == 0
 
 
+def test_copies_with_a_long_shared_beginning(spark):
+    """A third of the rows is one text, the others share its first hundred characters: the bucket splits behind what they share, at the production fit."""
+    pre = "the same long beginning of all requests " * 3
+    n = 150_000
+    df = spark.range(0, n, 1, 8).select(F.col("id").alias("row_no"), F.when(F.col("id") % 3 == 0, F.lit(pre + "!")).otherwise(F.concat(F.lit(pre), F.md5(F.col("id").cast("string")), F.when(F.col("id") % 3 == 1, "").otherwise("."))).alias("instruction"))
+    df = df.unionByName(spark.createDataFrame([(n, pre + "0" * 31), (n + 1, pre.upper() + " " + "0" * 31)], "row_no bigint, instruction string"))
+    got = {tuple(r) for r in copies.copies_found(df).collect()}
+    assert got == {(0, k) for k in range(3, n, 3)} | {(n, n + 1)}
+    # an oversized bucket of one string is added up without a trie, whatever the fit
+    few = df.where(f"row_no < 3000 or row_no >= {n}")
+    for fit in (40, 4000, 200_000):
+        assert {(r["first"], r["n"]) for r in copies.collapse(few, "row_no", "instruction", fit=fit, held=10_000).where("n > 1").collect()} == {(0, 1000), (n, 2)}
+
+
 def test_trie():
     t = copies.Trie()
     rnd = random.Random(1)
     want = defaultdict(lambda: [10**9, 0])
     for i in range(3000):
-        k = "".join(rnd.choice("abc") for _ in range(rnd.randint(1, 7)))
+        k = "".join(rnd.choice("abc") for _ in range(rnd.randint(1, 7))).encode()
         t.add(k, i, 1)
         want[k] = [min(want[k][0], i), want[k][1] + 1]
     assert {k: [f, n] for k, f, n in t.terminals()} == dict(want)
