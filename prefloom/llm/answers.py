@@ -19,6 +19,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -122,13 +123,17 @@ def is_refusal(text: str) -> bool:
     return hit
 
 
+_LONGEST = max(map(len, PLACEHOLDERS))
+_ALNUM = re.compile(r"[^\W_]")
+
+
 def is_empty(text: str | None) -> bool:
+    """Null, without letters and digits, or nothing but a placeholder, however much else stands around it."""
     if text is None:
         return True
-    if len(text) > 60:
-        return not any(c.isalnum() for c in text)
-    c = content(text)
-    return not c or c in PLACEHOLDERS
+    # folding makes no letter or digit vanish, so a text with more of them than the longest placeholder is none
+    n = sum(1 for _ in islice(_ALNUM.finditer(text), _LONGEST + 1))
+    return n <= _LONGEST and (n == 0 or content(text) in PLACEHOLDERS)
 
 
 _FAST = re.compile(r"[\W_]+")
@@ -224,6 +229,16 @@ def _unclosed(text: str) -> bool:
     return any(t.count(a) > t.count(b) for a, b in ("()", "[]", "{}", "“”", "«»")) or t.count('"') % 2 == 1 and '"' not in re.findall(r"\d\"", t)[:1]
 
 
+def _opening(t: str) -> int:
+    """Where the bracket opens that the last character closes; -1 if nowhere."""
+    depth = 0
+    for m in re.finditer(r"[()]", t[::-1]):
+        depth += 1 if m[0] == ")" else -1
+        if not depth:
+            return len(t) - 1 - m.start()
+    return -1
+
+
 def ending(text: str) -> tuple[str, str | None]:
     """(verdict, entry): ``cut``, ``whole``, or ``list`` with the last entry of a list that carries no closing mark."""
     t = text.rstrip()
@@ -248,7 +263,7 @@ def ending(text: str) -> tuple[str, str | None]:
         return "whole", None
     if not c.isalnum() and unicodedata.category(c) in ("So", "Sk", "Mn", "Cf"):  # emoji
         return "whole", None
-    if last == ")" and "(" in t[-60:] and t[:t.rfind("(")].rstrip()[-1:].isalnum() and not m:
+    if last == ")" and not m and t[:max(_opening(t), 0)].rstrip()[-1:].isalnum():
         return "whole", None
     if m and c.isalnum():
         return "list", m[1].strip()

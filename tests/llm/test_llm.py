@@ -92,6 +92,7 @@ PROMPT = "How can a tired nurse plan the rota? The people at Veld Norr say that
 
 @pytest.mark.parametrize("prompt,answer,defect", [
     (PROMPT, None, "empty"), (PROMPT, "", "empty"), (PROMPT, " ​\n", "empty"), (PROMPT, "N/A", "empty"), (PROMPT, "[no answer]", "empty"), (PROMPT, "...", "empty"),
+    (PROMPT, "N/A" + " " * 80, "empty"), (PROMPT, "[no response]" + "-" * 60, "empty"), (PROMPT, "Keep what helped (" + "at least for now and for the coming weeks " * 4 + "of rest)", None), (PROMPT, "Keep it short (see (a) of " + "the plan that we made " * 5 + "(b)) and", "truncated"),
     (PROMPT, PROMPT, "copies_prompt"), (PROMPT, "You asked: " + PROMPT.upper(), "copies_prompt"), (PROMPT, PROMPT + "\n\n" + PROMPT, "copies_prompt"), (PROMPT, '"' + re.sub(" ", "  ", PROMPT) + '"', "copies_prompt"),
     ("Task: a b; Tone: calm and warm", "Tone: calm and warm\nTask: a b", "copies_prompt"),
     (PROMPT, "I'm sorry, but I can't help with that.", "refusal"), (PROMPT, "Thank you for asking! However, I have to pass on this one. Is there anything else I can do for you?", "refusal"), (PROMPT, "Je ne suis pas en mesure de vous aider sur ce point.", "refusal"),
@@ -116,6 +117,8 @@ def test_answers_tables(spark):
     got = {tuple(r) for r in answers.found(raw, pairs).collect()}
     assert got == {("raw", str(n), "b", "empty") for n in range(5)} | {("raw", "7", "a", "truncated"), ("dpo_pairs", "p", "chosen", "refusal")}
     assert answers.found(raw.limit(0), pairs.limit(0)).count() == 0
+    both = spark.createDataFrame([("q", PROMPT, "Das kann ich leider nicht beantworten, weil", "Fine. Do it.", 1)], pairs.schema)
+    assert {tuple(r)[1:] for r in answers.defects(answers.answers(raw.limit(0), both)).collect()} == {("q", "chosen", d) for d in ("refusal", "truncated", "other_language")}
 
 
 # ---- problem 4 ----
