@@ -453,6 +453,27 @@ def test_pii_recall_and_precision(spark):
     assert red[untouched]["text"].count("[") >= sum(x[0] == untouched for x in truth)
 
 
+def test_pii_in_sentences_never_seen(spark):
+    """Sentences that no labeler and no other text knows, social security numbers without a word of context, and a short family name."""
+    rows, _ = texts()
+    frames = ["Our file lists {n|person_name}; kindly forward the leaflet.", "Please note {s|id_number} for the records of the clinic.", "Grandmother keeps {s|id_number} on a slip in her purse.", "Yesterday {n|person_name} repaired the garden gate.", "Parcels for the choir belong to {a|street_address}, behind the bakery.",
+              "Whoever rings {p|phone} hears the caretaker.", "Invoices travel through {e|email} every Friday.", "The choir met {n|person_name} beside the lake.", "They found the keys at {a|street_address} last night.", "Dial {p|phone} when the boiler stops.", "A slip with {s|id_number} lay under the mat.", "Post the photos via {e|email} instead.", "Then {r|person_name} slept."]
+    rnd = random.Random(2)
+    new, truth = [], set()
+    for i in range(130):
+        k = 10_000 + i
+        value = {"n": f"{rnd.choice(['Eskil', 'Anneke', 'Zofia'])} {rnd.choice(['Bramelius', 'Gorslund', 'Dravmont'])}", "s": f"{rnd.randint(101, 665)}-{rnd.randint(10, 99)}-{rnd.randint(1000, 9999)}", "a": f"{rnd.randint(3, 900)} {rnd.choice(['Copperleaf Road', 'Wexley Avenue', 'Harrow Lane'])}",
+                 "p": f"+1 {rnd.randint(201, 989)} 555 0{rnd.randint(100, 199)}", "e": f"{rnd.choice(['office', 'j.hill', 'kim_3'])}@{rnd.choice(['mail', 'post'])}.example", "r": "Zofia Ruiz"}
+        a, name, kind, b = re.fullmatch(r"(.*)\{(\w)\|(\w+)\}(.*)", frames[i % len(frames)]).groups()
+        new.append((k, a + value[name] + b, "x"))
+        truth.add((k, kind, len(a)))
+    roster = spark.createDataFrame([*people(), ("Zofia", "Ruiz")], "given_name string, family_name string")
+    got = {tuple(r) for r in pii.found(spark.createDataFrame(rows + new, "doc_id bigint, text string, s string"), roster).collect() if r["doc_id"] >= 10_000}
+    for t in pii.TYPES:
+        w, g = {x for x in truth if x[1] == t}, {x for x in got if x[1] == t}
+        assert len(w & g) / len(w) >= 0.95 and len(w & g) / len(g) >= 0.95, (t, len(w), len(g), [new[x[0] - 10_000] for x in w - g][:4], list(g - w)[:3])
+
+
 def test_pii_given_names_are_counted_over_all_documents(spark):
     n = 20_000
     named = {7: "I talked to Ilvara Bramelius about the batch.", 5007: "Later Ilvara Gorslund read the notes.", 11007: "We asked Ilvara Haldmont to stay.", 17007: "Here Ilvara Fennmont wrote the rest."}
