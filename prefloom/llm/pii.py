@@ -25,6 +25,7 @@ import re
 import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -40,7 +41,8 @@ _AT = r"(?:\s?(?:@|＠|\(at\)|\[at\]|\{at\}|&#64;|&commat;)\s?)"
 _DOT = r"(?:\.|\s?(?:\(dot\)|\[dot\]|\{dot\})\s?|[ ]dot[ ]|&#46;|&period;)"
 _LOCAL = r"(?:[^\W]|[.+\-]|&#(?:46|43|45|95);)+"
 EMAIL = re.compile(rf"(?<![\w.+\-;&#])(?:{_LOCAL}){_AT}(?:[^\W_][\w\-]*)(?:{_DOT}[^\W_][\w\-]*)*", re.I)
-_AT_SIGN = re.compile(r"[@＠]|[(\[{]at[)\]}]|&#64;|&commat;", re.I)
+#: What an address can't do without, quicker to seek than the whole pattern.
+_AT_SIGNS = ("@", "＠", "(at)", "[at]", "{at}", "&#64;", "&commat;")
 _EMAIL_END = re.compile(rf"{_DOT}(?:[a-z]{{2,10}})$", re.I)
 
 PHONE = re.compile("|".join((
@@ -71,8 +73,54 @@ ADDRESS_FR = re.compile(r"(?<![\w\-./])\d{1,4}(?:\s?(?:bis|ter|quater|[a-d])\b)?
 ADDRESS_ES = re.compile(r"(?<![\w\-./])(?:c/|calle|avenida|avda\.?|av\.|plaza|pza\.?|paseo|camino|carretera|ronda|travesía|callejón|glorieta)\s?(?:(?:de\s(?:la|los|las)|del|de)\s)?[^\W\d_][\w'’\-]*(?:\s[^\W\d_][\w'’\-]*)?,?\s(?:n\.?\s?[º°o]\.?\s?|núm\.?\s?|número\s)?\d{1,4}\b", re.I)
 ADDRESS_IT = re.compile(r"(?<![\w\-./])(?:via|viale|vicolo|piazza|piazzale|corso|largo|strada|salita|contrada)\s(?:(?:dei|degli|delle|della|dello|del|di|dell['’])\s?)?[^\W\d_][\w'’\-]*(?:\s[^\W\d_][\w'’\-]*)?,?\s(?:n\.?\s?[º°]?\s?)?\d{1,4}\b", re.I)
 ADDRESS_DE = re.compile(r"(?<![\w\-./])(?:(?:(?:am|im|an\sder|auf\sdem|auf\sder|zum|zur|hinter\sdem|unter\sden|alte[rn]?|neue[rn]?|obere[rn]?|untere[rn]?)\s)?[^\W\d_]{2,}(?:straße|strasse|str\.|weg|gasse|allee|platz|zeile|winkel|ring|damm|ufer|steg|stieg|hof|park|graben|markt|chaussee|pfad|twiete)|(?:am|im|an\sder|auf\sdem|auf\sder|zum|zur|hinter\sdem|unter\sden|alte[rn]?)\s[^\W\d_]{3,})\s?\d{1,4}(?:\s?[a-h]\b)?(?!\w)(?![.,]\d)", re.I)
-#: What a German address can't do without, quicker to seek than the whole pattern.
-_DE_HINT = re.compile(r"(?:straße|strasse|str\.|weg|gasse|allee|platz|zeile|winkel|ring|damm|ufer|steg|stieg|hof|park|graben|markt|chaussee|pfad|twiete)\s?\d|\b(?:am|im|an\sder|auf\sde[mr]|zu[mr]|hinter\sdem|unter\sden|alte[rn]?)\s[^\W\d_]{3,}\s?\d", re.I)
+#: What an address can't do without: one of these words, or in German a word that ends or begins in this way.
+_EN_WORDS = frozenset(EN_STREET[3:-1].split("|"))
+_FR_WORDS = frozenset("rue avenue boulevard bd impasse chemin place allée quai route square cours passage ruelle sentier faubourg".split())
+_ES_WORDS = frozenset("c calle avenida avda av plaza pza paseo camino carretera ronda travesía callejón glorieta".split())
+_IT_WORDS = frozenset("via viale vicolo piazza piazzale corso largo strada salita contrada".split())
+_DE_ENDS = tuple("straße strasse str. weg gasse allee platz zeile winkel ring damm ufer steg stieg hof park graben markt chaussee pfad twiete".split())
+_DE_WORDS = tuple("am im der dem den zum zur alte alten alter".split())
+_SPLIT = str.maketrans({c: " " for c in map(chr, range(33, 128)) if not c.isalnum()} | {c: " " for c in "’‘“”«»–—…¿¡ \u2002\u2003\u2009\u202f"})
+#: Where a telephone or identity number may stand: five digits with at most three dividers between any two, or a plus before a digit.
+_NUMBERS = re.compile(r"\+\d(?:[\s.\-–/()]{0,3}\d)*|\d(?:[\s.\-–/()]{0,3}\d){4,}")
+
+
+def _near(pattern: re.Pattern, text: str, places: list[tuple[int, int]], after: int) -> Iterator[re.Match]:
+    """The matches of a pattern for numbers, which begins at most four characters before a place and ends, with what must not follow, ``after`` behind it."""
+    end = 0
+    for a, b in places:
+        for m in pattern.finditer(text, max(end, a - 4), b + after):
+            if m.start() >= b:  # of the next place, which has all of it
+                break
+            end = m.end()
+            yield m
+
+
+_DIGIT_RUN = re.compile(r"\d+")
+_HAS_DIGIT = re.compile(r"\d")
+
+
+def _languages(low: str) -> set[str]:
+    """The languages whose addresses may occur in the case-folded text; a single digit is enough of a number."""
+    ws = set(low.translate(_SPLIT).split())
+    out = {k for k, have in (("en", _EN_WORDS), ("fr", _FR_WORDS), ("es", _ES_WORDS), ("it", _IT_WORDS)) if not have.isdisjoint(ws)}
+    for m in _DIGIT_RUN.finditer(low):
+        j = m.start()
+        j -= j > 0 and low[j - 1].isspace()
+        if not j or not low[j - 1].isalpha() and low[j - 1] != ".":
+            continue
+        if low.endswith(_DE_ENDS, 0, j):
+            out.add("de")
+            break
+        k = j
+        while k and low[k - 1].isalpha():
+            k -= 1
+        if k < j and k and low[k - 1].isspace() and low.endswith(_DE_WORDS, 0, k - 1):
+            out.add("de")
+            break
+    return out
+
+
 ADDRESSES = (("en", ADDRESS_EN), ("fr", ADDRESS_FR), ("es", ADDRESS_ES), ("it", ADDRESS_IT), ("de", ADDRESS_DE))
 
 #: Context words (fixed lists), on folded text just before or after a span.
@@ -100,9 +148,14 @@ PARTICLES = frozenset("van von de der den del della di da du la le los dos das t
 _NO_GIVEN = frozenset(
     "the a an and or but if when since from by to of in on at for with as is it this that hi hello dear hallo contact name signed reviewed regards best wishes thanks thank according please post call send ask my our your his her their i you we they he she "
     "der die das ein eine und mit ich sie er wir liebe lieber grüßen le les une un et avec je il elle cordialement el los las y con un una saludo saludos lo gli e con saluti cordiali address phone mail fax ssn id table row step lane score pair run form model card".split())
-_TOKEN = re.compile(r"[^\W\d_](?:[^\W\d_]|[̀-ͯ'’](?=[^\W\d_]))*(?:[-‐‑][^\W\d_](?:[^\W\d_]|['’](?=[^\W\d_]))*)*")
+_TOKEN = re.compile(r"[^\W\d_]+(?:[̀-ͯ'’][^\W\d_]+)*(?:[-‐‑][^\W\d_]+(?:['’][^\W\d_]+)*)*")
+#: The same tokens, those only that begin with a letter that is no small one of Latin-1.
+_CAPITAL = re.compile(r"[^\W\d_a-zß-öø-ÿ](?<![^\W\d_].)(?<![^\W\d_][-‐‑'’̀-ͯ].)[^\W\d_]*(?:[̀-ͯ'’][^\W\d_]+)*(?:[-‐‑][^\W\d_]+(?:['’][^\W\d_]+)*)*")
+_JOINED = re.compile(r"[^\W\d_]|[-‐‑'’̀-ͯ]")
+_LAST_WORD = re.compile(r"[^\W\d_]+(?=(?:\.|[^\w\s.,;:!?()<>|\"@\[\]{}/&#*-]|[ \t\xa0])+$)")
 
 
+@lru_cache(1 << 16)
 def plain(word: str) -> str:
     return unicodedata.normalize("NFC", word).replace("’", "'").casefold()
 
@@ -137,22 +190,48 @@ class Names:
         return w in self.given or w in self.more or "-" in w and all(p in self.given or p in self.more for p in w.split("-"))
 
 
-_UPPER, _LOWER = re.compile(r"[A-ZÀ-ÖØ-Þ]"), re.compile(r"[a-zß-öø-ÿ]+")
-
-
 def letter_case(text: str) -> str:
-    up, low = len(_UPPER.findall(text)), sum(map(len, _LOWER.findall(text)))
+    """``upper``, ``lower`` or ``mixed``, by all letters of the Latin alphabet and its supplement."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    up = int(np.count_nonzero((c - 65 < 26) | (c - 0xC0 < 31) & (c != 0xD7)))
+    low = int(np.count_nonzero((c - 97 < 26) | (c - 0xDF < 32) & (c != 0xF7)))
     return "upper" if up > 4 * low and up > 3 else "lower" if up * 200 < low or not up else "mixed"
 
 
+_AFTER_TITLE = re.compile(r"\.?[ \t\xa0]+")
 #: Between the parts of a name: blanks, maybe a stray symbol among them.
 _GAP = re.compile(r"[ \t\xa0]+(?:[^\w\s.,;:!?()<>|\"@\[\]{}/&#*-]{1,3}[ \t\xa0]+)?")
 _GAP_INITIAL = re.compile(r"\.?(?:[ \t\xa0]+(?:[^\w\s,;:!?()<>|\"@\[\]{}/&#*-]{1,3}[ \t\xa0]+)?)?")
 
 
+def _capitals(text: str) -> list[tuple[str, int, int]]:
+    """The capitalised tokens, and small particles and titles right before them: all that a name in mixed case is made of, as every rule asks
+    for gaps without letters."""
+    toks: list[tuple[str, int, int]] = []
+    for m in _CAPITAL.finditer(text):
+        w = m[0]
+        if not w[0].isupper():
+            continue
+        s = m.start()
+        before, at = [], s
+        while at and text[at - 1] in " \t\xa0":
+            piece = text[text.rfind(" ", 0, at - 1) + 1:at - 1]
+            word = piece[:-1] if piece[-1:] == "." else piece
+            if word.isalpha() and (word[0].isupper() or (k := plain(word)) not in PARTICLES and k not in TITLES) or piece[:-1].isalpha() and piece[-1:] in ",;:!?":
+                break
+            low = _LAST_WORD.search(text, max(0, at - 16), at)
+            if low is None or low[0][0].isupper() or (k := plain(low[0])) not in PARTICLES and k not in TITLES or low.start() and _JOINED.match(text[low.start() - 1]):
+                break
+            at = low.start()
+            before.append((low[0], *low.span()))
+        toks += reversed(before)
+        toks.append((w, s, m.end()))
+    return toks
+
+
 def _spans_names(text: str, names: Names, case: str) -> Iterator[tuple[int, int, dict]]:
     """Candidate names as (start, end, facts)."""
-    toks = [(m.group(), m.start(), m.end()) for m in _TOKEN.finditer(text)]
+    toks = _capitals(text) if case == "mixed" else [(m[0], *m.span()) for m in _TOKEN.finditer(text)]
     n = len(toks)
     fam = [False] * n
     giv = [False] * n
@@ -171,7 +250,7 @@ def _spans_names(text: str, names: Names, case: str) -> Iterator[tuple[int, int,
         return len(toks[i][0]) == 1 and (case != "mixed" or toks[i][0].isupper()) and bool(re.match(r"\.|\s[^\w\s]", text[toks[i][2]:toks[i][2] + 2]))
 
     def titled(i: int) -> bool:
-        return i > 0 and plain(toks[i - 1][0]) in TITLES and plain(toks[i - 1][0]) != "judge" and bool(re.fullmatch(r"\.?[ \t\xa0]+", gap(i - 1)))
+        return i > 0 and (t := plain(toks[i - 1][0])) in TITLES and t != "judge" and _AFTER_TITLE.fullmatch(gap(i - 1)) is not None
 
     def french() -> bool:
         low = text.casefold()
@@ -268,6 +347,9 @@ def _id_form(kind: str, m: re.Match) -> int:
     return 0
 
 
+_LETTERS, _PIECE = re.compile(r"[^\W\d_]+"), re.compile(r"[^\W\d_]+|[^\w\s]")
+
+
 def _sign(yes: bool, no: bool = False) -> int:
     return 1 if yes else -1 if no else 0
 
@@ -281,11 +363,14 @@ def spans(text: str, names: Names) -> list[tuple[str, int, int, list[int], list[
         return text[max(0, s - 48):s].casefold().replace("’", "'"), text[e:e + 32].casefold().replace("’", "'")
 
     def feats(kind: str, s: int, e: int, before: str, after: str, *more: str) -> list[str]:
-        shape = re.sub(r"[^\W\d_]+", "a", re.sub(r"\d+", lambda m: "9" * min(len(m[0]), 4), text[s:e]))[:24]
-        return [f"shape={shape}", f"prev={' '.join(re.findall(r'[^\W\d_]+|[^\w\s]', before)[-2:])}", f"prev1={' '.join(re.findall(r'[^\W\d_]+|[^\w\s]', before)[-1:])}", f"next={' '.join(re.findall(r'[^\W\d_]+|[^\w\s]', after)[:1])}", f"case={case}", *more]
+        shape = _LETTERS.sub("a", _DIGIT_RUN.sub(lambda m: "9" * min(len(m[0]), 4), text[s:e]))[:24]
+        last = _PIECE.findall(before)[-2:]
+        return [f"shape={shape}", f"prev={' '.join(last)}", f"prev1={' '.join(last[-1:])}", f"next={' '.join(m[0] for m in (_PIECE.search(after),) if m)}", f"case={case}", *more]
 
     mails, streets = [], []
-    for m in EMAIL.finditer(text) if _AT_SIGN.search(text) else ():
+    low = text.lower()
+    digits_in = _HAS_DIGIT.search(text) is not None
+    for m in EMAIL.finditer(text) if any(x in low for x in _AT_SIGNS) else ():
         s, e = m.span()
         while s < e and text[s] in ".-+'":
             s += 1
@@ -296,8 +381,9 @@ def spans(text: str, names: Names) -> list[tuple[str, int, int, list[int], list[
         out.append(("email", s, e, votes, feats("email", s, e, b, a)))
         if end:
             mails.append((s, e))
+    langs = _languages(low) if digits_in else ()
     for lang, pattern in ADDRESSES:
-        for m in pattern.finditer(text) if lang != "de" or _DE_HINT.search(text) else ():
+        for m in pattern.finditer(text) if lang in langs else ():
             s, e = m.span()
             got = m.group()
             ws = re.findall(r"[^\W\d_]{2,}", re.sub(r"^(?:[^\W\d_]+\.?\s?#?\w{1,4},?\s+)?\d+(?:[A-Za-z]\b|-\d+)?", "", got) if lang == "en" else got)
@@ -311,7 +397,8 @@ def spans(text: str, names: Names) -> list[tuple[str, int, int, list[int], list[
             if named:
                 streets.append((s, e))
     taken = mails + streets
-    for m in _ID_HEAD.finditer(text):
+    places = [m.span() for m in _NUMBERS.finditer(text)] if digits_in else []
+    for m in _near(_ID_HEAD, text, places, 8):
         s, e = m.span()
         if any(x <= s < y for x, y in mails):
             continue
@@ -322,7 +409,7 @@ def spans(text: str, names: Names) -> list[tuple[str, int, int, list[int], list[
         form = _id_form(kind, m)
         votes = [form, _sign(close), -1 if far and not close else 0, _sign(_FIELD_BEFORE.search(b) is not None and _FIELD_AFTER.match(a) is not None)]
         out.append(("id_number", s, e, votes, feats("id_number", s, e, b, a, f"kind={kind}", f"form={form}")))
-    for m in _PHONE_HEAD.finditer(text):
+    for m in _near(_PHONE_HEAD, text, places, 32):
         s, e = m.span()
         if any(x <= s < y for x, y in taken):
             continue
@@ -480,10 +567,9 @@ def _before_family(names: Names):
                 if letter_case(t) != "mixed":
                     continue
                 x, end = "", 0  # the capitalised word before
-                for m in _TOKEN.finditer(t):
+                for m in _CAPITAL.finditer(t):
                     w = m.group()
                     if not w[0].isupper():
-                        x = ""
                         continue
                     if x and m.start() == end + 1 and t[end] == " " and family(w) and not family(x):
                         n[plain(x)] += 1
