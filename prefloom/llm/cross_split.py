@@ -1,24 +1,26 @@
 """The same or nearly the same records across splits (problem 5).
 
 Method: a suffix array over partitioned concatenated texts; adjacent suffixes with long common prefixes reveal shared spans, and
-spans are merged into the coverage of each record.
+spans are merged into the coverage of each record, which decides.
 
-1. Texts that are equal word for word become one text with flags for the splits it occurs in.
+1. Texts that are equal word for word become one text, named by 128 bits, with flags for the splits it occurs in.
 2. From each text the suffixes at winnowed word positions are taken: of each ``window`` words the rarest one (of equals the one with
    the smallest hash), so any span of ``window`` or more shared words starts a suffix at the same word in both texts, and the words
    that tell requests apart, such as names, start one wherever they stand. How rare a word is comes from a sketch of
-   ``SKETCH`` counters over all texts, whose size does not depend on the data.
-3. All suffixes are range-partitioned and sorted: the suffix array, in pieces of equal size however common a phrase is. A
-   scan links neighbours of different texts that share at least ``span`` words; the neighbours across the edges of
+   ``SKETCH`` counters over all texts, whose size does not depend on the data. Of a suffix its first ``KEPT`` words are kept, long words as
+   hashes, so the array grows with the length of the texts and not with its square.
+3. The suffixes are written once, range-partitioned and sorted: the suffix array, in pieces of about ``PIECE`` suffixes however common a
+   phrase is. A scan links neighbours of different texts that share at least ``span`` words; the neighbours across the edges of
    pieces are linked in a second, tiny scan. A suffix makes one link to either side, so links grow with the input, not with its square.
-   Each suffix carries a 128-bit map of its text's words; two maps differ in at most as many bits as the texts differ in words, so
-   links that can't reach the similarity go at once.
-4. Links are checked on the texts: the shared words (as multisets, so moved sentences don't matter) are at least ``similarity`` of
-   both, and no name is exchanged (see ``same_names``).
+   Each suffix carries a 128-bit map of its text's words; two maps differ in at most as many bits as the texts have words outside shared
+   spans, so links that can't reach the coverage go at once.
+4. Linked texts are checked: the spans of ``span`` or more words that they share, merged, cover at least ``least`` of the words of both (so
+   moved sentences don't matter), and no name is exchanged (see ``same_names``).
    A neighbour that fails must not end the search: texts of two splits that share a name (or, without names, the first words of a
    suffix) and whose maps allow it are linked wherever they stand, by an exact join (see ``_beyond_neighbours``).
 5. Checked links are joined into classes by minimum-label propagation, since copies of one request follow each other in the array
-   but need not all be direct neighbours. Within a class each text of the train split is checked against each of the others.
+   but need not all be direct neighbours. ``classes`` gives one row per pair with its class; ``pairs_found``, whose rows are pairs, checks
+   the texts of the train split against the others of their class.
 
 Defined cases: null or wordless texts and rows without a known split are in no pair; repeated rows count once; a pair_id whose
 split differs between its rows is compared in both roles but never with itself; ties of equal suffixes are ordered by text; very long
@@ -41,6 +43,8 @@ from prefloom.llm.grouped_splits import components, split_name
 from prefloom.llm.text import words
 from prefloom.plans.lineage import land
 
+#: Words a span must have to count, and the share of the words of both texts that spans must cover.
+SPAN, LEAST = 2, 0.65
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 #: Function words that may open a sentence before a capitalised noun (fixed list: en, de, fr, es, it).
 _OPENERS = frozenset(
@@ -51,7 +55,7 @@ _OPENERS = frozenset(
 
 _SALUTED = re.compile(r"[!:]\s$")
 #: Words of courtesy and function words that may be put in or exchanged without changing what is asked (fixed list).
-_COURTESY = frozenset("hi hello hey there dear please answer kindly thanks thank you quick one question be brief it is urgent take your time in advance ought to should must would like want wants of the a an and for with on at by".split())
+_COURTESY = frozenset("hi hello hey there dear please kindly thanks thank you your it is be to of the a an and for with on at by in ought should must would could can shall may will like want wants need needs".split())
 
 
 def names_in(text: str) -> str | None:
@@ -106,16 +110,11 @@ def same_names(a: list[str], b: list[str], names_a: str | None, names_b: str | N
     return not (run(a, sb) and run(b, sa))
 
 
-def similarity(a: list[str], b: list[str]) -> float:
-    """Shared words, as multisets, of all words."""
-    return 2 * sum((Counter(a) & Counter(b)).values()) / ((len(a) + len(b)) or 1)
-
-
-def coverage(a: list[str], b: list[str], window: int) -> float:
-    """Share of the words of ``b`` inside spans of ``window`` or more words that also stand in ``a``."""
-    if not b:
+def coverage(a: list[str], b: list[str], span: int) -> float:
+    """Share of the words of ``b`` inside spans of ``span`` or more words that also stand in ``a``, overlapping spans merged."""
+    if not a or not b:
         return 0.0
-    w = min(window, len(a), len(b))
+    w = min(span, len(a), len(b))
     have = {tuple(a[i:i + w]) for i in range(len(a) - w + 1)}
     hit = [False] * len(b)
     for i in range(len(b) - w + 1):
@@ -182,18 +181,23 @@ def _normalised(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"ph": b["ph"], "norm": [" ".join(w) for w in ws], "names": [names_in(p) for p in b["prompt"]], "train": b["train"], "held": b["held"], "size": [len(w) for w in ws], "lo": [m[0] for m in maps], "hi": [m[1] for m in maps]})
 
 
+#: Words of a suffix that are kept, and letters of a word beyond which its hash stands for it: a suffix has a bounded size.
+KEPT, LONG = 16, 24
+
+
+def suffix_key(ws: list[str], i: int) -> str:
+    """The first KEPT words of the suffix that starts at word ``i``."""
+    return " ".join(w if len(w) <= LONG else f"\x01{xxhash.xxh64_hexdigest(w)}" for w in ws[i:i + KEPT])
+
+
 def _suffixes(window: int, shared):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out, counts = [], shared.value
-            for tid, norm, lo, hi in zip(b["tid"], b["norm"], b["lo"], b["hi"]):
+            for tid, norm, names, *rest in zip(b["tid"], b["norm"], b["names"], b["size"], b["lo"], b["hi"], b["train"], b["held"]):
                 ws = norm.split(" ")
-                starts, at = [], 0
-                for w in ws:
-                    starts.append(at)
-                    at += len(w) + 1
-                out.extend((norm[starts[i]:], tid, len(ws), lo, hi) for i in winnowed(ws, window, counts))
-            yield pd.DataFrame(out, columns=["suffix", "tid", "size", "lo", "hi"])
+                out.extend((suffix_key(ws, i), tid, *rest, not names) for i in winnowed(ws, window, counts))
+            yield pd.DataFrame(out, columns=["suffix", "tid", "size", "lo", "hi", "train", "held", "plain"])
 
     return run
 
@@ -215,10 +219,10 @@ def _common_words(a: str, b: str) -> int:
     return n + (lo > 0 and (lo == len(a) or a[lo] == " ") and (lo == len(b) or b[lo] == " "))
 
 
-def _linked(x: tuple, y: tuple, span: int, sim: float) -> tuple | None:
+def _linked(x: tuple, y: tuple, span: int, least: float) -> tuple | None:
     if x[1] == y[1]:
         return None
-    if ((x[3] ^ y[3]) & (2**64 - 1)).bit_count() + ((x[4] ^ y[4]) & (2**64 - 1)).bit_count() > (1 - sim) * (x[2] + y[2]):
+    if ((x[3] ^ y[3]) & (2**64 - 1)).bit_count() + ((x[4] ^ y[4]) & (2**64 - 1)).bit_count() > (1 - least) * (x[2] + y[2]):
         return None
     n = _common_words(x[0], y[0])
     if n < min(span, x[2], y[2]):
@@ -226,7 +230,7 @@ def _linked(x: tuple, y: tuple, span: int, sim: float) -> tuple | None:
     return (x[1], y[1], n) if x[1] < y[1] else (y[1], x[1], n)
 
 
-def _scan(span: int, sim: float):
+def _scan(span: int, least: float):
     """Links inside a piece; its first and last suffix come out as rows with ``edge`` 0 and 1."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -240,7 +244,7 @@ def _scan(span: int, sim: float):
                 s = rows[0]
                 out.append((s[1], None, None, 0, part, s[0], s[2], s[3], s[4]))
             for row in rows:
-                if before is not None and (link := _linked(before, row, span, sim)):
+                if before is not None and (link := _linked(before, row, span, least)):
                     out.append((*link, None, None, None, None, None, None))
                 before = row
             yield _frame(out, cols)
@@ -255,31 +259,39 @@ def _frame(rows: list, cols: list[str]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=cols, dtype=object)
 
 
-_SUFFIX = "suffix string, tid bigint, size int, lo bigint, hi bigint"
-_SCANNED = "a bigint, b bigint, n int, edge int, part int, suffix string, size int, lo bigint, hi bigint"
+_SUFFIX = "suffix string, tid binary, size int, lo bigint, hi bigint, train int, held int, plain boolean"
+_SCANNED = "a binary, b binary, n int, edge int, part int, suffix string, size int, lo bigint, hi bigint"
 
 
-def _edges(span: int, sim: float):
+def _edges(span: int, least: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for r in b.itertuples(index=False):
-                if link := _linked((r.suffix, r.a, r.size, r.lo, r.hi), (r.suffix2, r.a2, r.size2, r.lo2, r.hi2), span, sim):
+                if link := _linked((r.suffix, r.a, r.size, r.lo, r.hi), (r.suffix2, r.a2, r.size2, r.lo2, r.hi2), span, least):
                     out.append(link)
             yield pd.DataFrame(out, columns=["a", "b", "n"])
 
     return run
 
 
-def _checked(window: int, sim: float):
+def near(wa: list[str], wb: list[str], names_a: str | None, names_b: str | None, span: int, least: float) -> float | None:
+    """Share of the words of ``b`` that shared spans cover, if that makes the two nearly the same: the spans cover at least ``least`` of both
+    and no name is exchanged, or both have the same words in another order."""
+    covered = coverage(wa, wb, span)
+    if covered >= least and coverage(wb, wa, span) >= least and same_names(wa, wb, names_a, names_b):
+        return covered
+    return covered if len(wa) == len(wb) and sorted(wa) == sorted(wb) else None
+
+
+def _checked(span: int, least: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in batches:
             out = []
             for a, b, na, nb, ma, mb in zip(f["a"], f["b"], f["norm_a"], f["norm_b"], f["names_a"], f["names_b"]):
-                wa, wb = na.split(" "), nb.split(" ")
-                alike = similarity(wa, wb)
-                if alike == 1 or alike >= sim and same_names(wa, wb, ma, mb):
-                    out.append((a, b, coverage(wa, wb, window)))
+                covered = near(na.split(" "), nb.split(" "), ma, mb, span, least)
+                if covered is not None:
+                    out.append((a, b, covered))
             yield pd.DataFrame(out, columns=["a", "b", "covered"]).astype({"covered": "float64"})
 
     return run
@@ -295,7 +307,7 @@ def _sorted_letters(ws):
     return F.transform(ws, lambda w: F.array_join(F.sort_array(F.split(w, "")), ""))
 
 
-def _beyond_neighbours(texts: DataFrame, window: int, span: int, sim: float, shared) -> DataFrame:
+def _beyond_neighbours(texts: DataFrame, array: DataFrame, span: int, least: float) -> DataFrame:
     """a, b: the texts of two splits that may pass the check wherever they stand in the array, joined on what the check asks for.
 
     A pair of which a text shows names needs one of these in the other text: names meet adjacent words, each word by its letters in
@@ -308,14 +320,12 @@ def _beyond_neighbours(texts: DataFrame, window: int, span: int, sim: float, sha
     grams = texts.where("size > 1").select(*cols, ws.alias("w")).select(*cols, F.explode(F.array_distinct(F.zip_with(F.expr("slice(w, 1, size - 1)"), F.expr("slice(w, 2, size - 1)"), lambda x, y: F.xxhash64(x, y)))).alias("key"))
     named = (texts.where("names <> ''").select(*cols, F.explode(F.split("names", r"\|")).alias("name")).select(*cols, _sorted_letters(F.split("name", " ")).alias("w"))
              .select(*cols, F.xxhash64(F.col("w")[0], F.col("w")[1]).alias("key")).distinct())
-    plain = texts.where("names is null or names = ''")
-    starts = (plain.select("tid", "norm", "lo", "hi").mapInPandas(_suffixes(window, shared), _SUFFIX)
-              .select("tid", F.xxhash64(F.substring_index("suffix", " ", span)).alias("key")).distinct().join(plain.select(*cols), "tid"))
+    starts = array.where("plain").select(*cols, F.xxhash64(F.substring_index("suffix", " ", span)).alias("key")).distinct()
 
     def met(x: DataFrame, y: DataFrame) -> DataFrame:
         j = x.alias("x").join(y.alias("y"), F.expr(
             "x.key = y.key and x.tid <> y.tid and (x.train = 1 and y.held = 1 or x.held = 1 and y.train = 1) "
-            f"and bit_count(x.lo ^ y.lo) + bit_count(x.hi ^ y.hi) <= {1 - sim!r}D * (x.size + y.size)"))
+            f"and bit_count(x.lo ^ y.lo) + bit_count(x.hi ^ y.hi) <= {1 - least!r}D * (x.size + y.size)"))
         return j.select(F.least("x.tid", "y.tid").alias("a"), F.greatest("x.tid", "y.tid").alias("b"))
 
     bags = texts.select("tid", F.xxhash64(F.sort_array(F.split("norm", " "))).alias("bag"))
@@ -323,32 +333,59 @@ def _beyond_neighbours(texts: DataFrame, window: int, span: int, sim: float, sha
     return met(named, grams).unionByName(met(starts, starts)).unionByName(moved)
 
 
-def overlaps(pairs: DataFrame, window: int = 5, span: int = 2, sim: float = 0.7) -> tuple[DataFrame, DataFrame]:
-    """(members, found): members has tid, pair_id, split; found has a (train text), b (other split's text) and covered (share of b's words)."""
+def _id(text: str):
+    """128 bits that stand for a text."""
+    return F.unhex(F.md5(text))
+
+
+#: Suffixes of a piece of the array: about 30 MB.
+PIECE = 200_000
+
+
+def classes_of(pairs: DataFrame, window: int, span: int, least: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(members, texts, classes): members has tid, pair_id, split of every row with a split and words; classes has tid and label of every text."""
     rows = (pairs.select("pair_id", split_name(F.col("split")).alias("split"), "prompt").where("prompt is not null and pair_id is not null")
-            .where(F.col("split").isin("train", "validation", "test")).withColumn("ph", F.xxhash64("prompt")))
-    prompts = rows.groupBy("ph").agg(F.first("prompt").alias("prompt"), F.max((F.col("split") == "train").cast("int")).alias("train"), F.max((F.col("split") != "train").cast("int")).alias("held"))
-    known = land(prompts.mapInPandas(_normalised, "ph bigint, norm string, names string, train int, held int, size int, lo bigint, hi bigint").where("norm <> ''").withColumn("tid", F.xxhash64("norm")))
+            .where(F.col("split").isin("train", "validation", "test")).withColumn("ph", _id("prompt")))
+    flags = [F.max((F.col("split") == "train").cast("int")).alias("train"), F.max((F.col("split") != "train").cast("int")).alias("held")]
+    prompts = rows.groupBy("ph").agg(F.first("prompt").alias("prompt"), *flags)
+    known = land(prompts.mapInPandas(_normalised, "ph binary, norm string, names string, train int, held int, size int, lo bigint, hi bigint").where("norm <> ''").withColumn("tid", _id("norm")))
     texts = land(known.groupBy("tid").agg(F.first("norm").alias("norm"), F.max("names").alias("names"), F.max("train").alias("train"), F.max("held").alias("held"), *[F.first(c).alias(c) for c in ("size", "lo", "hi")]))
     shared = pairs.sparkSession.sparkContext.broadcast(sketch(texts))
-    array = texts.select("tid", "norm", "lo", "hi").mapInPandas(_suffixes(window, shared), _SUFFIX)
-    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    scanned = land(array.repartitionByRange(n, "suffix", "tid").sortWithinPartitions("suffix", "tid").mapInPandas(_scan(span, sim), _SCANNED))
+    array = land(texts.select("tid", "norm", "names", "size", "lo", "hi", "train", "held").mapInPandas(_suffixes(window, shared), _SUFFIX))
+    n = max(pairs.sparkSession.sparkContext.defaultParallelism, array.count() // PIECE + 1)
+    scanned = land(array.select("suffix", "tid", "size", "lo", "hi").repartitionByRange(n, "suffix", "tid").sortWithinPartitions("suffix", "tid").mapInPandas(_scan(span, least), _SCANNED))
     # two rows a piece: their number is that of the pieces
     order = Window.orderBy("part", "edge")
     ends = scanned.where("edge is not null")
     nexts = ends.select("*", *[F.lead(c).over(order).alias(f"{c}2") for c in ("suffix", "a", "size", "lo", "hi", "part")]).where("edge = 1 and part2 is not null")
-    across = nexts.select("suffix", "a", "size", "lo", "hi", "suffix2", "a2", "size2", "lo2", "hi2").mapInPandas(_edges(span, sim), "a bigint, b bigint, n int")
-    links = scanned.where("edge is null").select("a", "b", "n").unionByName(across).select("a", "b").unionByName(_beyond_neighbours(texts, window, span, sim, shared)).distinct()
-    good = land(_with_texts(links, texts).mapInPandas(_checked(window, sim), "a bigint, b bigint, covered double").select("a", "b"))
+    across = nexts.select("suffix", "a", "size", "lo", "hi", "suffix2", "a2", "size2", "lo2", "hi2").mapInPandas(_edges(span, least), "a binary, b binary, n int")
+    links = scanned.where("edge is null").select("a", "b", "n").unionByName(across).select("a", "b").unionByName(_beyond_neighbours(texts, array, span, least)).distinct()
+    good = land(_with_texts(links, texts).mapInPandas(_checked(span, least), "a binary, b binary, covered double").select("a", "b"))
+    # a link is an entity of its two texts; were the hashes of two links equal, their classes would meet and the check of pairs still keep them apart
     ends2 = good.select("a", "b", F.xxhash64("a", "b").alias("entity"))
-    classes = components(ends2.select(F.col("a").alias("tid"), "entity").unionByName(ends2.select(F.col("b").alias("tid"), "entity")), "tid")
-    flagged = classes.join(texts.select("tid", "train", "held"), "tid")
-    cross = (flagged.where("train = 1").select("label", F.col("tid").alias("a")).join(flagged.where("held = 1").select("label", F.col("tid").alias("b")), "label").where("a <> b").select("a", "b"))
-    near = _with_texts(cross, texts).mapInPandas(_checked(window, sim), "a bigint, b bigint, covered double")
-    same = texts.where("train = 1 and held = 1").select(F.col("tid").alias("a"), F.col("tid").alias("b"), F.lit(1.0).alias("covered"))
+    labels = components(ends2.select(F.col("a").alias("tid"), "entity").unionByName(ends2.select(F.col("b").alias("tid"), "entity")), "tid")
     members = rows.select("pair_id", "split", "ph").distinct().join(known.select("ph", "tid"), "ph").select("tid", "pair_id", "split")
-    return members, near.unionByName(same)
+    return members, texts, labels
+
+
+def overlaps(pairs: DataFrame, window: int = 5, span: int = SPAN, least: float = LEAST) -> tuple[DataFrame, DataFrame]:
+    """(members, found): members has tid, pair_id, split; found has a (train text), b (other split's text) and covered (share of b's words)."""
+    members, texts, labels = classes_of(pairs, window, span, least)
+    flagged = labels.join(texts.select("tid", "train", "held", "size", "lo", "hi"), "tid")
+    cross = flagged.where("train = 1").alias("x").join(flagged.where("held = 1").alias("y"), F.expr(
+        f"x.label = y.label and x.tid <> y.tid and bit_count(x.lo ^ y.lo) + bit_count(x.hi ^ y.hi) <= {1 - least!r}D * (x.size + y.size)")).select(F.col("x.tid").alias("a"), F.col("y.tid").alias("b"))
+    near_ = _with_texts(cross, texts).mapInPandas(_checked(span, least), "a binary, b binary, covered double")
+    same = texts.where("train = 1 and held = 1").select(F.col("tid").alias("a"), F.col("tid").alias("b"), F.lit(1.0).alias("covered"))
+    return members, near_.unionByName(same)
+
+
+def classes(pairs: DataFrame, window: int = 5, span: int = SPAN, least: float = LEAST) -> DataFrame:
+    """pair_id, split, class_id (hex), n_train, n_held: the class of every pair and its distinct pairs on either side, without a pair written out."""
+    members, _, labels = classes_of(pairs, window, span, least)
+    m = members.join(labels, "tid", "left").select("pair_id", "split", F.lower(F.hex(F.coalesce("label", "tid"))).alias("class_id"))
+    # counted by class and split first, so that a hot class is one row per split and task
+    n = m.distinct().groupBy("class_id").agg(F.count(F.when(F.col("split") == "train", 1)).alias("n_train"), F.count(F.when(F.col("split") != "train", 1)).alias("n_held"))
+    return m.distinct().join(n, "class_id").select("pair_id", "split", "class_id", "n_train", "n_held")
 
 
 def pairs_found(pairs: DataFrame) -> DataFrame:

@@ -240,13 +240,35 @@ def test_cross_split_goes_past_refused_neighbours(spark):
     w, names = [words(p) for p, _ in prompts], [cross_split.names_in(p) for p, _ in prompts]
     want = set()
     for i, j in itertools.product(range(450), range(450, len(prompts))):
-        alike = cross_split.similarity(w[i], w[j])
-        if alike == 1 or alike >= 0.7 and cross_split.same_names(w[i], w[j], names[i], names[j]):
+        if cross_split.near(w[i], w[j], names[i], names[j], cross_split.SPAN, cross_split.LEAST) is not None:
             want.add((min(f"p{i}", f"p{j}"), max(f"p{i}", f"p{j}")))
     got = {tuple(r) for r in cross_split.pairs_found(df).collect()}
     assert got == want and len(want) >= 110
 
 
+def test_cross_split_long_texts(spark):
+    """Texts of 8,000 words, one copied with a few words changed and one word of 5,000 letters: found, and the array stays in proportion to the text."""
+    rnd = random.Random(3)
+    vocabulary = ["".join(rnd.choice("bdfgklmnprst") + rnd.choice("aeiou") for _ in range(3)) for _ in range(3000)]
+    long = [[rnd.choice(vocabulary) for _ in range(8000)] for _ in range(3)]
+    near = [w if rnd.random() > 0.03 else rnd.choice(vocabulary) for w in long[0]]
+    huge = "x" * 5000
+    rows = [("a", "train", " ".join(long[0]), "r", 1, "n"), ("b", "test", " ".join(near), "r", 1, "n"), ("c", "train", " ".join(long[1]), "r", 1, "n"), ("d", "dev", " ".join(long[2]), "r", 1, "n"), ("e", "train", f"say {huge} again and again", "r", 1, "n"), ("f", "test", f"Say {huge} again, and again!", "r", 1, "n")]
+    df = spark.createDataFrame(rows, PAIRS)
+    assert {tuple(r) for r in cross_split.pairs_found(df).collect()} == {("a", "b"), ("e", "f")}
+    got = {r["pair_id"]: r for r in cross_split.classes(df).collect()}
+    assert got["a"]["class_id"] == got["b"]["class_id"] and (got["a"]["n_train"], got["a"]["n_held"], got["c"]["n_held"]) == (1, 1, 0) and len(got) == 6
+
+    class Shared:
+        value = None
+
+    import pandas as pd
+
+    text = pd.DataFrame([(b"x" * 16, " ".join(long[0]), None, 8000, 0, 0, 1, 0)], columns=["tid", "norm", "names", "size", "lo", "hi", "train", "held"])
+    size = sum(f["suffix"].str.len().sum() for f in cross_split._suffixes(5, Shared)(iter([text])))
+    assert size < 10 * len(text["norm"][0])
+
+
 def test_winnowing_guarantee():
     rnd = random.Random(5)
     for _ in range(200):
