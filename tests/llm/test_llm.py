@@ -345,6 +345,18 @@ def test_assignment_shares(spark):
     assert abs(n["train"] / 4000 - 0.7) < 0.02 and abs(n["validation"] / 4000 - 0.15) < 0.02
 
 
+def test_assignment_of_pairs_with_a_hot_author(spark):
+    """One author has a third of 9,000 pairs: one group, and every pair gets the split of its group, shares within two hundredths."""
+    n = 9000
+    df = spark.range(n).select(F.concat(F.lit("p"), "id").alias("pair_id"), F.format_string("%05d", F.col("id") % 4500).alias("prompt_id"), F.concat(F.lit("r"), F.col("id") % 4500).alias("record_id"), F.lit("train").alias("split"), F.when(F.col("id") % 3 == 0, "high").otherwise("low").alias("label_confidence"))
+    rw = spark.range(4500).select(F.concat(F.lit("r"), "id").alias("id"), F.when(F.col("id") < 1500, "one").alias("author_id"))
+    out = grouped_splits.assign_pairs(df.unionByName(df.limit(5)), rw).collect()
+    count = Counter(r["split"] for r in out)
+    assert len(out) == n and abs(count["train"] / n - 0.7) < 0.02 and abs(count["validation"] / n - 0.15) < 0.02 and abs(count["test"] / n - 0.15) < 0.02
+    assert {r["group_prompt_id"] for r in out if r["prompt_id"] < "01500"} == {"00000"} and len({r["split"] for r in out if r["prompt_id"] < "01500"}) == 1
+    assert all(r["group_prompt_id"] == r["prompt_id"] for r in out if r["prompt_id"] >= "01500")
+
+
 # ---- problem 7 ----
 
 @pytest.mark.parametrize("seed", range(6))
