@@ -17,7 +17,9 @@ from __future__ import annotations
 
 import json
 import math
+import re
 from collections.abc import Iterator
+from json.decoder import scanstring
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -26,11 +28,69 @@ from pyspark.sql import functions as F
 NODES = "id bigint, dewey array<int>, path string, name string, kind string, number double, text string"
 
 
+_LEXEME = re.compile(r'[ \t\n\r]*(?:([{}\[\],:])|(-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?)|(true|false|null|NaN|-?Infinity)|(")|$)')
+_WORDS = {"true": True, "false": False, "null": None, "NaN": math.nan, "Infinity": math.inf, "-Infinity": -math.inf}
+
+
+def parse(text: str):
+    """The value of a complete JSON text, however deep; ValueError for any other text."""
+    try:
+        return json.loads(text)
+    except RecursionError:
+        return _deep(text)
+
+
+def _deep(text: str):
+    """The same without recursion: open containers on a stack, each with the key that waits for its value."""
+    at, stack, state = 0, [], "value"
+    while True:
+        m = _LEXEME.match(text, at)
+        if m is None:
+            raise ValueError(f"no JSON at {at}")
+        at = m.end()
+        sign, number, word, quote = m.groups()
+        if quote:
+            value, at = scanstring(text, at, True)
+            if state in ("key", "first key"):
+                stack[-1][1], state = value, "colon"
+                continue
+        elif number:
+            value = int(number) if number.lstrip("-").isdigit() else float(number)
+        elif word:
+            value = _WORDS[word]
+        elif sign in ("{", "[") and state in ("value", "first value"):
+            stack.append([{} if sign == "{" else [], None])
+            state = "first key" if sign == "{" else "first value"
+            continue
+        elif sign == ":" and state == "colon":
+            state = "value"
+            continue
+        elif sign == "," and state == "after" and stack:
+            state = "key" if isinstance(stack[-1][0], dict) else "value"
+            continue
+        elif sign in ("}", "]") and stack and state in ("after", "first key", "first value") and isinstance(stack[-1][0], dict) == (sign == "}"):
+            value, state = stack.pop()[0], "value"
+        else:
+            raise ValueError(f"no JSON at {at}")
+        if state not in ("value", "first value"):
+            raise ValueError(f"no JSON at {at}")
+        if not stack:
+            if text[at:].strip(" \t\n\r"):
+                raise ValueError(f"no JSON at {at}")
+            return value
+        top, key = stack[-1]
+        if isinstance(top, dict):
+            top[key] = value
+        else:
+            top.append(value)
+        state = "after"
+
+
 def _opened(value):
     """A container; JSON text that holds one is opened."""
     if isinstance(value, str) and value.lstrip()[:1] in ("{", "["):
         try:
-            value = json.loads(value)
+            value = parse(value)
         except ValueError:
             return value
     return value
@@ -69,8 +129,8 @@ def json_nodes(rows: DataFrame, id_col: str, json_col: str) -> DataFrame:
             out = []
             for i, t in zip(b["id"], b["text"]):
                 try:
-                    doc = json.loads(t)
-                except (ValueError, RecursionError):
+                    doc = parse(t)
+                except ValueError:
                     continue
                 out.extend((i, list(n[0]), *n[1:]) for n in walk(doc))
             yield pd.DataFrame(out, columns=["id", "dewey", "path", "name", "kind", "number", "text"])
@@ -159,8 +219,8 @@ def json_levels(rows: DataFrame, id_col: str, json_col: str) -> DataFrame:
             out = []
             for i, t in zip(b["id"], b["text"]):
                 try:
-                    doc = json.loads(t)
-                except (ValueError, RecursionError):
+                    doc = parse(t)
+                except ValueError:
                     continue
                 out.extend((i, *r) for r in judged(doc))
             f = pd.DataFrame(out, columns=names)
@@ -194,19 +254,37 @@ def typed_levels(raw: DataFrame, id_col: str = "row_no", paths: tuple[str, ...]
     return out[0] if len(out) == 1 else out[0].unionByName(out[1]) if len(out) == 2 else out[0].unionByName(out[1]).unionByName(out[2])
 
 
+def labelled(raw: DataFrame, raw_json: DataFrame) -> DataFrame:
+    """origin, id and the columns of LEVEL of all nodes of both tables."""
+    return typed_levels(raw).withColumn("origin", F.lit("raw")).unionByName(json_levels(raw_json, "row_no", "payload").withColumn("origin", F.lit("raw_json")))
+
+
 def scores_found(raw: DataFrame, raw_json: DataFrame) -> DataFrame:
-    """origin, row_no, source, judgment_no, score_no of every finite score of both tables, read off the labels."""
-    typed = typed_levels(raw, paths=(SCORE,)).withColumn("origin", F.lit("raw"))
-    text = path_table(json_levels(raw_json, "row_no", "payload"), SCORE).drop("parent").withColumn("origin", F.lit("raw_json"))
-    return typed.unionByName(text).where("score is not null").select(
-        "origin", F.col("id").alias("row_no"), "source", F.col("dewey")[1].alias("judgment_no"), F.col("dewey")[2].alias("score_no")).distinct()
+    """origin, row_no, source, judgment_no, score_no of every finite score of both tables: the table of scores, its position from the
+    label and its judgment's from the parent's label. A row_no that occurs twice gives distinct rows."""
+    scores = typed_levels(raw, paths=(SCORE,)).withColumn("origin", F.lit("raw")).unionByName(json_levels(raw_json, "row_no", "payload").withColumn("origin", F.lit("raw_json")))
+    return path_table(scores, SCORE).where("score is not null").select(
+        "origin", F.col("id").alias("row_no"), "source", F.element_at("parent", -1).alias("judgment_no"), F.element_at("dewey", -1).alias("score_no")).distinct()
+
+
+def _key(label):
+    return F.array_join(F.transform(label, lambda x: x.cast("string")), ".")
+
+
+def flat_tables(raw: DataFrame, raw_json: DataFrame) -> dict[str, DataFrame]:
+    """``evaluations``, ``judgments`` and ``scores``: the table of each schema path with origin, row_no, node (its label) and parent (the label of
+    the row above it, which is its node; null for evaluations, whose parent is the record)."""
+    nodes = labelled(raw, raw_json)
+    keys = ["origin", F.col("id").alias("row_no"), _key(F.col("dewey")).alias("node"), F.when(F.size("parent") > 0, _key(F.col("parent"))).alias("parent"), "source"]
+    return {"evaluations": path_table(nodes, EVALUATION).select(*keys), "judgments": path_table(nodes, JUDGMENT).select(*keys, "judge_model", "status", "score_avg"), "scores": path_table(nodes, SCORE).select(*keys, "score")}
 
 
 def linked_tables(raw: DataFrame, raw_json: DataFrame) -> DataFrame:
-    """Rows, records and children per table and origin; ``orphans`` counts rows whose truncated label is no row of the table above."""
-    nodes = typed_levels(raw).withColumn("origin", F.lit("raw")).unionByName(json_levels(raw_json, "row_no", "payload").withColumn("origin", F.lit("raw_json")))
-    child = with_parent(nodes)
-    up = nodes.select("origin", "id", F.col("dewey").alias("parent"), F.lit(1).alias("has")).distinct()
-    return child.join(up, ["origin", "id", "parent"], "left").groupBy("origin", "path").agg(
-        F.count("*").alias("n_rows"), F.countDistinct("id").alias("n_records"),
-        F.sum(F.when((F.size("dewey") > 1) & F.col("has").isNull(), 1).otherwise(0)).cast("bigint").alias("orphans"))
+    """Rows, records and orphans per table and origin; an orphan is a row whose truncated label is no row of the table above. Every node is
+    made once: it gives a row for itself and one for its parent, and these meet in one aggregation."""
+    child = with_parent(labelled(raw, raw_json))
+    own = F.struct(F.col("dewey").alias("label"), F.lit(1).alias("own"), F.lit(0).alias("kids"), "path")
+    up = F.struct(F.col("parent").alias("label"), F.lit(0).alias("own"), F.lit(1).alias("kids"), "path")
+    both = child.select("origin", "id", F.explode(F.when(F.size("dewey") > 1, F.array(own, up)).otherwise(F.array(own))).alias("x")).select("origin", "id", "x.*")
+    met = both.groupBy("origin", "id", "label").agg(F.sum("own").alias("own"), F.sum("kids").alias("kids"), F.max(F.when(F.col("own") == 1, F.col("path"))).alias("at"), F.max(F.when(F.col("own") == 0, F.col("path"))).alias("under"))
+    return met.groupBy("origin", F.coalesce("at", "under").alias("path")).agg(F.sum("own").alias("n_rows"), F.countDistinct(F.when(F.col("own") > 0, F.col("id"))).alias("n_records"), F.sum(F.when(F.col("own") == 0, F.col("kids")).otherwise(0)).alias("orphans"))

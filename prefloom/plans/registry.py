@@ -36,6 +36,13 @@ def p3_tables(spark, d):
     return nested.linked_tables(table(spark, d, "raw"), table(spark, d, "raw_json"))
 
 
+def _flat(name):
+    def run(spark, d):
+        return _r(nested.flat_tables(table(spark, d, "raw"), table(spark, d, "raw_json"))[name])
+
+    return run
+
+
 def _raw(spark, d):
     return spread(table(spark, d, "raw"))
 
@@ -359,6 +366,7 @@ QUERIES = {f.__name__: f for f in (
     leakage_audit, leakage_audit_violations, duplicate_pair_ids, report_totals, report_by_split, report_by_confidence, report_by_type, report_exclusions, report_preferred, train_eligible, eval_eligible, train_capped, train_within_length, train_messages,
     manifest_counts, ngram_lm, response_logprobs, response_boundary, pair_scores, skip_reasons, eval_overall, eval_by_confidence, eval_by_type, eval_by_margin_bucket, paired_id_audit, token_parity_audit, relative_details, compare_primary,
     compare_secondary, compare_behavior, final_results, mcnemar_exact, dpo_loss_mean, bootstrap_hashed, bootstrap_exact_mt, bootstrap_poisson, tensor_change, tuning_rank, tuning_winner, tuning_warmup, policy_fingerprint, tuning_grid, table_fingerprint)}
+QUERIES |= {f"p3_{name}": _flat(name) for name in ("evaluations", "judgments", "scores")}
 QUERIES |= {"bootstrap_accuracy": _interval("implicit_reward_correct", 42), "bootstrap_margin": _interval("implicit_reward_margin", 43), "bootstrap_delta": _interval("absolute_accuracy_delta", 44)}
 
 from prefloom.plans.sql import SQL  # noqa: E402,F401

@@ -151,19 +151,19 @@ NESTED = r"""
 WITH j AS (SELECT row_no, payload::JSON AS d FROM raw_json WHERE json_valid(payload)),
 r AS (SELECT row_no, CASE WHEN json_extract(d, '$.evaluations') IS NULL AND json_type(d, '$.record') = 'OBJECT' THEN json_extract(d, '$.record.evaluations') ELSE json_extract(d, '$.evaluations') END AS e FROM j WHERE json_type(d) = 'OBJECT'),
 o AS (SELECT row_no, CASE WHEN json_type(e) = 'VARCHAR' AND json_valid(e ->> '$') THEN (e ->> '$')::JSON ELSE e END AS e FROM r),
-k AS (SELECT row_no, e, unnest(json_keys(e)) AS source FROM o WHERE json_type(e) = 'OBJECT'),
-l AS (SELECT row_no, unnest(from_json(e, '["JSON"]')) AS b FROM o WHERE json_type(e) = 'ARRAY'),
-s AS (SELECT row_no, source, json_extract(e, '$."' || source || '"') AS b FROM k UNION ALL SELECT row_no, b ->> '$.source', b FROM l WHERE json_type(b) = 'OBJECT'),
-g AS (SELECT row_no, source, json_extract(b, '$.judgments') AS g FROM s WHERE json_type(b) = 'OBJECT'),
-gl AS (SELECT row_no, source, CASE json_type(g) WHEN 'ARRAY' THEN from_json(g, '["JSON"]') WHEN 'OBJECT' THEN [g] END AS x FROM g),
-jd AS (SELECT row_no, source, unnest(x) AS t, generate_subscripts(x, 1) - 1 AS judgment_no FROM gl),
-sc AS (SELECT row_no, source, judgment_no, json_extract(t, '$.scores') AS s FROM jd WHERE json_type(t) = 'OBJECT'),
-sl AS (SELECT row_no, source, judgment_no, CASE WHEN json_type(s) = 'ARRAY' THEN from_json(s, '["JSON"]') WHEN json_type(s) <> 'NULL' THEN [s] END AS x FROM sc),
-en AS (SELECT row_no, source, judgment_no, unnest(x) AS v, generate_subscripts(x, 1) - 1 AS score_no FROM sl),
-nm AS (SELECT row_no, source, judgment_no, score_no, CASE WHEN json_type(v) = 'OBJECT' THEN json_extract(v, '$.judge_score') ELSE v END AS v FROM en),
-ev AS (SELECT row_no, unnest(map_entries(evaluations)) AS m FROM raw),
-ej AS (SELECT row_no, m.key AS source, unnest(m.value.judgments) AS q, generate_subscripts(m.value.judgments, 1) - 1 AS judgment_no FROM ev),
-es AS (SELECT row_no, source, judgment_no, unnest(q.scores) AS z, generate_subscripts(q.scores, 1) - 1 AS score_no FROM ej)
+k AS (SELECT row_no, e, unnest(json_keys(e)) AS source, generate_subscripts(json_keys(e), 1) - 1 AS evaluation_no FROM o WHERE json_type(e) = 'OBJECT'),
+l AS (SELECT row_no, unnest(from_json(e, '["JSON"]')) AS b, generate_subscripts(from_json(e, '["JSON"]'), 1) AS n FROM o WHERE json_type(e) = 'ARRAY'),
+s AS (SELECT row_no, source, json_extract(e, '$."' || source || '"') AS b, evaluation_no FROM k UNION ALL SELECT row_no, b ->> '$.source', b, row_number() OVER (PARTITION BY row_no ORDER BY n) - 1 FROM l WHERE json_type(b) = 'OBJECT'),
+g AS (SELECT row_no, source, evaluation_no, json_extract(b, '$.judgments') AS g FROM s WHERE json_type(b) = 'OBJECT'),
+gl AS (SELECT row_no, source, evaluation_no, CASE json_type(g) WHEN 'ARRAY' THEN from_json(g, '["JSON"]') WHEN 'OBJECT' THEN [g] END AS x FROM g),
+jd AS (SELECT row_no, source, evaluation_no, unnest(x) AS t, generate_subscripts(x, 1) - 1 AS judgment_no FROM gl),
+sc AS (SELECT row_no, source, evaluation_no, judgment_no, t, json_extract(t, '$.scores') AS s FROM jd WHERE json_type(t) = 'OBJECT'),
+sl AS (SELECT row_no, source, evaluation_no, judgment_no, CASE WHEN json_type(s) = 'ARRAY' THEN from_json(s, '["JSON"]') WHEN json_type(s) <> 'NULL' THEN [s] END AS x FROM sc),
+en AS (SELECT row_no, source, evaluation_no, judgment_no, unnest(x) AS v, generate_subscripts(x, 1) - 1 AS score_no FROM sl),
+nm AS (SELECT row_no, source, evaluation_no, judgment_no, score_no, CASE WHEN json_type(v) = 'OBJECT' THEN json_extract(v, '$.judge_score') ELSE v END AS v FROM en),
+ev AS (SELECT row_no, unnest(map_entries(evaluations)) AS m, generate_subscripts(map_entries(evaluations), 1) - 1 AS evaluation_no FROM raw),
+ej AS (SELECT row_no, m.key AS source, evaluation_no, unnest(m.value.judgments) AS q, generate_subscripts(m.value.judgments, 1) - 1 AS judgment_no FROM ev),
+es AS (SELECT row_no, source, evaluation_no, judgment_no, unnest(q.scores) AS z, generate_subscripts(q.scores, 1) - 1 AS score_no FROM ej)
 """
 
 _CAND = """WITH g AS (SELECT c_mktsegment || ':' || n_regionkey AS candidate, count(*) AS n, round(avg(c_acctbal), -1) AS metric, round(median(c_acctbal), 2) AS margin, round(stddev_pop(c_acctbal), 2) AS loss FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1),
@@ -232,8 +232,16 @@ n AS (SELECT 'c' || lpad((row_number() OVER (ORDER BY learning_rate, epochs, bet
     "p3_found": NESTED + """
 SELECT DISTINCT 'raw' AS origin, row_no, source, judgment_no::INT AS judgment_no, score_no::INT AS score_no FROM es WHERE isfinite(z.judge_score)
 UNION ALL SELECT DISTINCT 'raw_json', row_no, source, judgment_no::INT, score_no::INT FROM nm WHERE json_type(v) IN ('UBIGINT', 'BIGINT', 'DOUBLE', 'HUGEINT') AND isfinite((v ->> '$')::DOUBLE)""",
+    "p3_evaluations": NESTED + "SELECT 'raw' AS origin, row_no, evaluation_no::VARCHAR AS node, NULL::VARCHAR AS parent, m.key AS source FROM ev UNION ALL SELECT 'raw_json', row_no, evaluation_no::VARCHAR, NULL, source FROM s",
+    "p3_judgments": NESTED + f"""SELECT 'raw' AS origin, row_no, evaluation_no || '.' || judgment_no AS node, evaluation_no::VARCHAR AS parent, source, q.judge_model AS judge_model, q.status AS status, {_r(FIN.format('q.score_avg'), 'score_avg')} FROM ej WHERE q IS NOT NULL
+UNION ALL SELECT 'raw_json', row_no, evaluation_no || '.' || judgment_no, evaluation_no::VARCHAR, source, CASE WHEN json_type(t, '$.judge_model') = 'VARCHAR' THEN t ->> '$.judge_model' END, CASE WHEN json_type(t, '$.status') = 'VARCHAR' THEN t ->> '$.status' END,
+CASE WHEN json_type(t, '$.score_avg') IN ('UBIGINT', 'BIGINT', 'DOUBLE', 'HUGEINT') AND isfinite((t ->> '$.score_avg')::DOUBLE) THEN {_r("(t ->> '$.score_avg')::DOUBLE", 'x').removesuffix(' AS x')} END FROM sc""",
+    "p3_scores": NESTED + f"""SELECT 'raw' AS origin, row_no, evaluation_no || '.' || judgment_no || '.' || score_no AS node, evaluation_no || '.' || judgment_no AS parent, source, {_r(FIN.format('z.judge_score'), 'score')} FROM es
+UNION ALL SELECT 'raw_json', row_no, evaluation_no || '.' || judgment_no || '.' || score_no, evaluation_no || '.' || judgment_no, source, CASE WHEN json_type(v) IN ('UBIGINT', 'BIGINT', 'DOUBLE', 'HUGEINT') AND isfinite((v ->> '$')::DOUBLE) THEN {_r("(v ->> '$')::DOUBLE", 'x').removesuffix(' AS x')} END FROM nm""",
     "p3_tables": NESTED + """
-, c AS (SELECT 'raw' AS origin, 'evaluations.*' AS path, row_no FROM ev UNION ALL SELECT 'raw', 'evaluations.*.judgments[]', row_no FROM ej WHERE q IS NOT NULL UNION ALL SELECT 'raw', 'evaluations.*.judgments[].scores[]', row_no FROM es
-UNION ALL SELECT 'raw_json', 'evaluations.*', row_no FROM s UNION ALL SELECT 'raw_json', 'evaluations.*.judgments[]', row_no FROM sc UNION ALL SELECT 'raw_json', 'evaluations.*.judgments[].scores[]', row_no FROM en)
-SELECT origin, path, count(*) AS n_rows, count(DISTINCT row_no) AS n_records, 0::BIGINT AS orphans FROM c GROUP BY origin, path""",
+, c AS (SELECT 'raw' AS origin, 'evaluations.*' AS path, row_no, evaluation_no::VARCHAR AS node, NULL AS parent FROM ev UNION ALL SELECT 'raw', 'evaluations.*.judgments[]', row_no, evaluation_no || '.' || judgment_no, evaluation_no::VARCHAR FROM ej WHERE q IS NOT NULL
+UNION ALL SELECT 'raw', 'evaluations.*.judgments[].scores[]', row_no, evaluation_no || '.' || judgment_no || '.' || score_no, evaluation_no || '.' || judgment_no FROM es
+UNION ALL SELECT 'raw_json', 'evaluations.*', row_no, evaluation_no::VARCHAR, NULL FROM s UNION ALL SELECT 'raw_json', 'evaluations.*.judgments[]', row_no, evaluation_no || '.' || judgment_no, evaluation_no::VARCHAR FROM sc
+UNION ALL SELECT 'raw_json', 'evaluations.*.judgments[].scores[]', row_no, evaluation_no || '.' || judgment_no || '.' || score_no, evaluation_no || '.' || judgment_no FROM en)
+SELECT c.origin, c.path, count(*) AS n_rows, count(DISTINCT c.row_no) AS n_records, count(*) FILTER (c.parent IS NOT NULL AND u.node IS NULL) AS orphans FROM c LEFT JOIN (SELECT DISTINCT origin, row_no, node FROM c) u ON u.origin = c.origin AND u.row_no = c.row_no AND u.node = c.parent GROUP BY c.origin, c.path""",
 }
