@@ -66,9 +66,12 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         conf = records.load_config(a.config)
         pairs = spark.read.parquet(conf["pairs_file"])
         caps = {"train": conf.get("max_train_samples"), "validation": conf.get("max_validation_samples")}
-        views = pipeline.training_view(pairs, float(conf.get("min_label_margin", 0.0)), tuple(conf.get("allowed_confidence", ("high", "medium"))), caps, conf.get("max_length"), int(conf.get("seed", 42)), bool(conf.get("sanity_use_train_as_validation", False)))
+        margin, confidence = float(conf.get("min_label_margin", 0.0)), tuple(conf.get("allowed_confidence", ("high", "medium")))
+        views = pipeline.training_view(pairs, margin, confidence, caps, conf.get("max_length"), int(conf.get("seed", 42)), bool(conf.get("sanity_use_train_as_validation", False)))
         for split, view in views.items():
             records.write_jsonl(view, os.path.join(conf["output_dir"], split))
+        _save(conf, os.path.join(conf["output_dir"], "resolved_config.json"))
+        _save(pipeline.training_manifest(pairs, views, conf, margin, confidence, conf.get("max_length")), os.path.join(conf["output_dir"], "run_manifest.json"))
     elif a.command == "evaluate":
         details, report = pipeline.evaluate(spark.read.parquet(a.pairs), UnigramScorer(spark.read.parquet(a.corpus), a.text_column), a.split, a.max_length, tuple(a.confidence), a.min_margin, allow_test=True)
         records.write_jsonl(details, a.details)

@@ -76,9 +76,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def own_path(spark: SparkSession) -> str:
+    """A new path in the shared folder, removed like a landed table."""
+    path = f"{shared_dir(spark).rstrip('/')}/prefloom-{uuid.uuid4().hex}"
+    _landed.append((spark, path))
+    return path
+
+
 def land(df: DataFrame) -> DataFrame:
     """``df``, written once as parquet to the shared folder and read again (columns; for steps that are read repeatedly)."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/prefloom-{uuid.uuid4().hex}"
+    path = own_path(df.sparkSession)
     df.write.parquet(path)
-    _landed.append((df.sparkSession, path))
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import json
+import os
+import platform
 from dataclasses import asdict
+from datetime import datetime, timezone
+from importlib import metadata
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prefloom.operators import audit, selection, summary
 from prefloom.operators.pairs import Policy, build_pairs
-from prefloom.operators.scoring import UnigramScorer, evaluated, score_pairs, skip_reasons
+from prefloom.operators.scoring import Scorer, UnigramScorer, evaluated, score_pairs, skip_reasons
 from prefloom.operators.tuning import policy_fingerprint
+from prefloom.plans.lineage import land
 from prefloom.sources import records
 
 
@@ -55,21 +61,47 @@ def training_view(pairs: DataFrame, min_margin: float = 0.0, confidence: tuple[s
     return {s: selection.messages(p) for s, p in parts.items()}
 
 
-def evaluate(pairs: DataFrame, scorer: UnigramScorer, split: str = "validation", max_length: int = 1024, confidence: tuple[str, ...] = ("high", "medium"), min_margin: float = 0.10, allow_test: bool = False, bootstrap_samples: int = 10_000) -> tuple[DataFrame, dict]:
+def training_manifest(pairs: DataFrame, view: dict[str, DataFrame], config: dict, min_margin: float = 0.0, confidence: tuple[str, ...] = ("high", "medium"), max_length: int | None = None) -> dict:
+    """What identifies a training view: counts of eligible pairs before caps, after caps and length, and dropped for length, the resolved configuration with
+    its fingerprint, and versions. The test split is never evaluated here."""
+    e = selection.eligible(pairs, min_margin=min_margin, confidence=confidence)
+    before = {r["split"]: r for r in (selection.manifest(pairs, max_length, min_margin=min_margin, confidence=confidence) if max_length is not None else e.groupBy("split").agg(F.count("*").alias("before"), F.lit(0).alias("dropped"))).collect()}  # one row per split
+    return {"created_at": datetime.now(timezone.utc).isoformat(), "platform": platform.platform(), "python": platform.python_version(), "package_versions": {n: metadata.version(n) for n in ("pyspark", "pyarrow", "pandas", "numpy")},
+            "config": config, "config_fingerprint": policy_fingerprint(config), "eligible_pairs_before_caps": {s: r["before"] for s, r in before.items()}, "eligible_pairs": {s: v.count() for s, v in view.items()},
+            "dropped_for_length": {s: r["dropped"] for s, r in before.items()}, "test_evaluated": False}
+
+
+def open_test(folder: str, fingerprint: str) -> None:
+    """Open the test split for one configuration: the first to ask is noted in ``folder``, any other is refused, so that a test result can't choose
+    among configurations."""
+    path = os.path.join(folder, "test_opened.json")
+    if os.path.exists(path):
+        with open(path, encoding="utf-8") as f:
+            first = json.load(f)["fingerprint"]
+        if first != fingerprint:
+            raise ValueError(f"The test split was opened for configuration {first}; {fingerprint} must not see it")
+        return
+    os.makedirs(folder, exist_ok=True)
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump({"fingerprint": fingerprint, "opened_at": datetime.now(timezone.utc).isoformat()}, f)
+
+
+def evaluate(pairs: DataFrame, scorer: Scorer, split: str = "validation", max_length: int = 1024, confidence: tuple[str, ...] = ("high", "medium"), min_margin: float = 0.10, allow_test: bool = False, bootstrap_samples: int = 10_000) -> tuple[DataFrame, dict]:
     """Details of the eligible pairs of a split and their summary. The test split opens only with ``allow_test``."""
     if split == "test" and not allow_test:
         raise ValueError("The test split is locked; pass allow_test=True for the final evaluation")
     rows = selection.eligible(pairs, split, confidence, min_margin)
     if rows.isEmpty():
         raise ValueError("No pair of this split passes the filters of the evaluation")
-    scored = score_pairs(rows, scorer, max_length)
+    scored = land(score_pairs(rows, scorer, max_length))  # the model runs once; everything below reads columns
     details = evaluated(scored)
-    flat = lambda df, key: {r[key]: {k: v for k, v in r.asDict().items() if k != key} for r in df.orderBy(key).collect()}  # noqa: E731  # a few groups
-    overall = summary.metrics(details).first().asDict()
+    groups = summary.all_subgroups(details).collect()  # a few groups
+    flat = lambda key: {r["label"]: {k: v for k, v in r.asDict().items() if k not in ("grouping", "label")} for r in sorted(groups, key=lambda r: r["label"]) if r["grouping"] == key}
+    overall = flat("overall").get("", {"n": 0})
     interval = summary.bootstrap(details, F.col("correct").cast("double"), bootstrap_samples).first()
     overall |= {"prompt_cluster_bootstrap_95": [interval["lo"], interval["hi"]] if interval else None}
     return details, {"split": split, "max_length": max_length, "overall": overall, "skipped": {r["skip_reason"]: r["n"] for r in skip_reasons(scored).collect()},
-                     "subgroups": {"label_confidence": flat(summary.metrics(details, ["label_confidence"]), "label_confidence"), "comparison_type": flat(summary.metrics(details, ["comparison_type"]), "comparison_type"), "label_margin_bucket": flat(summary.by_margin_bucket(details), "label_margin_bucket")}}
+                     "subgroups": {k: flat(k) for k in ("label_confidence", "comparison_type", "label_margin_bucket")}}
 
 
 def compare(base: DataFrame, other: DataFrame, beta: float = 0.1, seed: int = 42, bootstrap_samples: int = 10_000) -> tuple[DataFrame, dict]:
@@ -83,8 +115,11 @@ def compare(base: DataFrame, other: DataFrame, beta: float = 0.1, seed: int = 42
     return rel, report
 
 
-def run(spark: SparkSession, raw_path: str, folder: str, corpus: DataFrame, text_col: str = "text", policy: Policy = Policy()) -> dict:
-    """Records to pairs, evaluation of two unigram models on the test split, and their comparison; reports land in ``folder``."""
+def run(spark: SparkSession, raw_path: str, folder: str, corpus: DataFrame, text_col: str = "text", policy: Policy = Policy(), split: str = "validation", allow_test: bool = False) -> dict:
+    """Records to pairs, evaluation of two unigram models, and their comparison; tables land in ``folder``. The test split opens only with ``allow_test``,
+    and only for the first configuration that asks (see ``open_test``)."""
+    if split == "test" and allow_test:
+        open_test(folder, run_id(policy))
     raw = records.read_raw_json(spark, raw_path)
     records.write_parquet(raw, f"{folder}/raw")
     pairs, report = build(spark.read.parquet(f"{folder}/raw"), f"{folder}/pairs", policy)
@@ -94,7 +129,7 @@ def run(spark: SparkSession, raw_path: str, folder: str, corpus: DataFrame, text
     models = {"baseline": UnigramScorer(corpus, text_col, vocabulary), "candidate": UnigramScorer(chosen, "chosen", vocabulary)}
     out = {"pairs": report}
     for name, m in models.items():
-        details, out[name] = evaluate(pairs, m, "test", allow_test=True)
+        details, out[name] = evaluate(pairs, m, split, allow_test=allow_test)
         records.write_parquet(details, f"{folder}/{name}_details")
     rel, out["comparison"] = compare(*(spark.read.parquet(f"{folder}/{n}_details") for n in models))
     records.write_parquet(rel, f"{folder}/relative_details")

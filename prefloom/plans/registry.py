@@ -12,13 +12,14 @@ from prefloom.operators import audit, nested, selection, summary, tensors, tunin
 from prefloom.operators import judges as jd
 from prefloom.operators import pairs as pr
 from prefloom.operators import scoring as sc
-from prefloom.plans.lineage import land
+from prefloom.plans.lineage import land, own_path
+from prefloom.sources import records
 from prefloom.sources.tables import spread, table
 
 #: Policy of the queries: the sample run's shares.
 POLICY = pr.Policy(train_share=0.70, validation_share=0.15)
 SPLIT = "test"
-SAMPLES = 1000
+SAMPLES = 10_000
 BETA = 0.1
 
 
@@ -192,14 +193,16 @@ def _models(spark, d):
 
 def ngram_lm(spark, d):
     base, cand = _models(spark, d)
-    b, c = base.logprobs().where("token is not null"), cand.logprobs().where("token is not null").withColumnRenamed("logprob", "candidate")
+    b, c = base.logprobs(), cand.logprobs().withColumnRenamed("logprob", "candidate")
     return _r(b.withColumnRenamed("logprob", "baseline").join(c, "token"))
 
 
 def response_logprobs(spark, d):
-    """Every distinct answer of the delivered pairs under the baseline."""
-    p = _delivered(spark, d)
-    return _r(_models(spark, d)[0].score(p.select(F.col("chosen").alias("text")).unionByName(p.select(F.col("rejected").alias("text")))))
+    """Every answer of the delivered pairs given its prompt, under the baseline."""
+    p = _delivered(spark, d).select("pair_id", "prompt", F.explode(F.create_map(F.lit("chosen"), "chosen", F.lit("rejected"), "rejected")).alias("side", "response"))
+    p = p.withColumn("key", sc.conversation_key(F.col("prompt"), F.col("response")))
+    got = _models(spark, d)[0].score(p.select("key", "prompt", "response").dropDuplicates(["key"]))
+    return _r(p.select("pair_id", "side", "key").join(got, "key").select("pair_id", "side", "prompt_tokens", "token_count", "logprob_sum", "logprob_mean", "skip_reason"))
 
 
 def response_boundary(spark, d):
@@ -208,16 +211,20 @@ def response_boundary(spark, d):
     return p.select("pair_id", sc.response_start(before, F.col("chosen")).alias("start"))
 
 
-def _details(spark, d, which, models=None):
-    return sc.score_pairs(selection.eligible(_delivered(spark, d), SPLIT, min_margin=0.10), (models or _models(spark, d))[which], 150)
+def _details(spark, d, which, models=None, max_length=1024):
+    return sc.score_pairs(selection.eligible(_delivered(spark, d), SPLIT, min_margin=0.10), (models or _models(spark, d))[which], max_length)
 
 
 def pair_scores(spark, d):
-    return _r(sc.evaluated(_details(spark, d, 0)))
+    """All eligible pairs of the split and, as a case that must be skipped, those without an answer."""
+    e = selection.eligible(_delivered(spark, d), SPLIT, min_margin=0.10)
+    void = e.select("pair_id", "prompt_id", "split", "label_confidence", "label_margin", "comparison_type", "prompt", F.lit(None).cast("string").alias("chosen"), "rejected").withColumn("pair_id", F.concat("pair_id", F.lit(":void")))
+    return _r(sc.score_pairs(e.select(void.columns).unionByName(void), _models(spark, d)[0]))
 
 
 def skip_reasons(spark, d):
-    return sc.skip_reasons(_details(spark, d, 0))
+    """At 150 tokens, so that there are long ones; the other queries take 1024."""
+    return sc.skip_reasons(_details(spark, d, 0, max_length=150))
 
 
 def _evaluated(spark, d, which=0, models=None):
@@ -245,6 +252,11 @@ def eval_by_margin_bucket(spark, d):
     return _r(summary.by_margin_bucket(_evaluated(spark, d)))
 
 
+def eval_subgroups(spark, d):
+    """All groupings in one pass."""
+    return _r(summary.all_subgroups(_evaluated(spark, d)))
+
+
 def paired_id_audit(spark, d):
     return audit.key_sets(*_both(spark, d))
 
@@ -253,6 +265,12 @@ def token_parity_audit(spark, d):
     return summary.token_mismatches(*_both(spark, d))
 
 
+def token_parity_violations(spark, d):
+    """Where the second side counts one token more in pairs of high confidence."""
+    e = _evaluated(spark, d)
+    return summary.token_mismatches(e, e.withColumn("chosen_token_count", F.col("chosen_token_count") + (F.col("label_confidence") == "high").cast("int")))
+
+
 def _relative(spark, d):
     return summary.relative_details(*_both(spark, d), BETA)
 
@@ -296,14 +314,14 @@ def dpo_loss_mean(spark, d):
 
 def _interval(column, seed):
     def run(spark, d):
-        return _r(summary.bootstrap(land(_relative(spark, d)), F.col(column).cast("double"), SAMPLES, seed, portable=True))
+        return _r(summary.bootstrap_portable(land(_relative(spark, d)), F.col(column).cast("double"), SAMPLES, seed))
 
     return run
 
 
 def bootstrap_hashed(spark, d):
     """The default mode, whose draws no other engine repeats."""
-    return _r(summary.bootstrap(land(_relative(spark, d)), F.col("implicit_reward_correct").cast("double"), 10_000))
+    return _r(summary.bootstrap(land(_relative(spark, d)), F.col("implicit_reward_correct").cast("double"), SAMPLES))
 
 
 def bootstrap_exact_mt(spark, d):
@@ -311,7 +329,7 @@ def bootstrap_exact_mt(spark, d):
 
 
 def bootstrap_poisson(spark, d):
-    return _r(summary.bootstrap_poisson(land(_relative(spark, d)), F.col("implicit_reward_correct").cast("double"), 200))
+    return _r(summary.bootstrap_poisson(land(_relative(spark, d)), F.col("implicit_reward_correct").cast("double"), SAMPLES))
 
 
 def tensor_change(spark, d):
@@ -361,11 +379,42 @@ def table_fingerprint(spark, d):
     return tuning.table_fingerprint(table(spark, d, "dpo_pairs"), "pair_id", "prompt_id", "split")
 
 
+def _back(spark, write, read):
+    """Written to the shared folder and read again; the files go with the landed tables."""
+    path = own_path(spark)
+    write(path)
+    return read(path)
+
+
+def io_jsonl(spark, d):
+    """The delivered pairs as JSONL, all columns, written and read back."""
+    t = table(spark, d, "dpo_pairs").drop("exported_at")
+    got = _back(spark, lambda p: records.write_jsonl(t, p), lambda p: records.read_jsonl(spark, p, records.PAIR))
+    return _r(got.select("pair_id", "record_id", "split", "prompt", "chosen", "rejected", "label_margin", "common_successful_judges", "preferred_field_agrees", F.concat_ws(",", "exclusion_reasons").alias("reasons")))
+
+
+def io_jsonl_keyed(spark, d):
+    """Each pair once, read back with its key checked."""
+    t = table(spark, d, "dpo_pairs").select("pair_id").distinct()
+    return _back(spark, lambda p: records.write_jsonl(t, p), lambda p: records.read_jsonl(spark, p, "pair_id string", "pair_id"))
+
+
+def io_csv(spark, d):
+    c = table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal")
+    return _r(_back(spark, lambda p: records.write_csv(c, p), lambda p: spark.read.schema("c_custkey bigint, c_name string, c_acctbal double").option("header", True).csv(p)))
+
+
+def io_parquet_by_split(spark, d):
+    """Built pairs by split, counted from the files."""
+    b = pr.build_pairs(_raw(spark, d), POLICY)
+    return _back(spark, lambda p: records.write_parquet(b, p, ("split",)), lambda p: spark.read.parquet(p)).groupBy("split").agg(F.count("*").alias("pairs"), F.countDistinct("pair_id").alias("ids"))
+
+
 QUERIES = {f.__name__: f for f in (
     p3_found, p3_tables, judge_scores, expected_judges, attempt_scores, prompt_normalize, prompt_ids, prompt_split, split_shares, response_combinations, pair_metrics, pair_side_scores, preferred_agreement, pair_exclusions, pairs_full,
     leakage_audit, leakage_audit_violations, duplicate_pair_ids, report_totals, report_by_split, report_by_confidence, report_by_type, report_exclusions, report_preferred, train_eligible, eval_eligible, train_capped, train_within_length, train_messages,
-    manifest_counts, ngram_lm, response_logprobs, response_boundary, pair_scores, skip_reasons, eval_overall, eval_by_confidence, eval_by_type, eval_by_margin_bucket, paired_id_audit, token_parity_audit, relative_details, compare_primary,
-    compare_secondary, compare_behavior, final_results, mcnemar_exact, dpo_loss_mean, bootstrap_hashed, bootstrap_exact_mt, bootstrap_poisson, tensor_change, tuning_rank, tuning_winner, tuning_warmup, policy_fingerprint, tuning_grid, table_fingerprint)}
+    manifest_counts, ngram_lm, response_logprobs, response_boundary, pair_scores, skip_reasons, eval_overall, eval_by_confidence, eval_by_type, eval_by_margin_bucket, eval_subgroups, paired_id_audit, token_parity_audit, token_parity_violations, relative_details, compare_primary,
+    compare_secondary, compare_behavior, final_results, mcnemar_exact, dpo_loss_mean, bootstrap_hashed, bootstrap_exact_mt, bootstrap_poisson, tensor_change, tuning_rank, tuning_winner, tuning_warmup, policy_fingerprint, tuning_grid, table_fingerprint, io_jsonl, io_jsonl_keyed, io_csv, io_parquet_by_split)}
 QUERIES |= {f"p3_{name}": _flat(name) for name in ("evaluations", "judgments", "scores")}
 QUERIES |= {"bootstrap_accuracy": _interval("implicit_reward_correct", 42), "bootstrap_margin": _interval("implicit_reward_margin", 43), "bootstrap_delta": _interval("absolute_accuracy_delta", 44)}
 

@@ -100,15 +100,17 @@ voc AS (SELECT token FROM wd UNION SELECT token FROM wc),
 cb AS (SELECT token, count(*) AS n FROM wd GROUP BY token),
 cc AS (SELECT token, count(*) AS n FROM wc GROUP BY token),
 tot AS (SELECT (SELECT coalesce(sum(n), 0) FROM cb)::DOUBLE AS tb, (SELECT coalesce(sum(n), 0) FROM cc)::DOUBLE AS tc, (SELECT count(*) FROM voc)::DOUBLE AS v),
-lm AS (SELECT voc.token, ln((coalesce(cb.n, 0) + 1.0::DOUBLE) / (tb + v)) AS b, ln((coalesce(cc.n, 0) + 1.0::DOUBLE) / (tc + v)) AS c FROM voc LEFT JOIN cb USING (token) LEFT JOIN cc USING (token), tot),
-un AS (SELECT ln(1.0::DOUBLE / (tb + v)) AS b, ln(1.0::DOUBLE / (tc + v)) AS c FROM tot),
-txt AS (SELECT chosen AS t FROM dl UNION SELECT rejected FROM dl),
-bag AS (SELECT t, token, count(*) AS n FROM (SELECT t, unnest({_toks('t')}) AS token FROM txt) GROUP BY ALL),
-ts AS (SELECT t, sum(bag.n)::BIGINT AS k, sum(bag.n * coalesce(lm.b, un.b)) AS sb, sum(bag.n * coalesce(lm.c, un.c)) AS sc FROM bag LEFT JOIN lm USING (token), un GROUP BY t),
-sco AS (SELECT txt.t, coalesce(k, 0) AS k, round(sb, 11) AS sb, round(sb / k, 12) AS mb, round(sc, 11) AS sc, round(sc / k, 12) AS mc FROM txt LEFT JOIN ts USING (t)),
-det AS (SELECT el.*, x.k AS kc, y.k AS kr, x.sb AS xsb, x.mb AS xmb, x.sc AS xsc, x.mc AS xmc, y.sb AS ysb, y.mb AS ymb, y.sc AS ysc, y.mc AS ymc,
-        CASE WHEN chosen = '' OR rejected = '' THEN 'empty_response' WHEN x.k = 0 OR y.k = 0 THEN 'empty_tokenized_response' WHEN len({_toks('prompt')}) + greatest(x.k, y.k) > 150 THEN 'over_max_length' END AS why
-        FROM el JOIN sco x ON x.t = chosen JOIN sco y ON y.t = rejected WHERE split = 'test' AND label_margin >= 0.1),
+lm AS (SELECT voc.token, coalesce(cb.n, 0) AS b, coalesce(cc.n, 0) AS c FROM voc LEFT JOIN cb USING (token) LEFT JOIN cc USING (token)),
+txt AS (SELECT prompt AS p, chosen AS t FROM dl UNION SELECT prompt, rejected FROM dl),
+prb AS (SELECT p, token, count(*) AS n FROM (SELECT p, unnest({_toks('p')}) AS token FROM (SELECT DISTINCT p FROM txt)) GROUP BY ALL),
+bag AS (SELECT p, t, token, count(*) AS n FROM (SELECT p, t, unnest({_toks('t')}) AS token FROM txt) GROUP BY ALL),
+ts AS (SELECT bag.p, bag.t, sum(bag.n)::BIGINT AS k, sum(bag.n * ln((coalesce(lm.b, 0) + 1.0::DOUBLE + coalesce(prb.n, 0)) / (tb + v + len({_toks('bag.p')})))) AS sb, sum(bag.n * ln((coalesce(lm.c, 0) + 1.0::DOUBLE + coalesce(prb.n, 0)) / (tc + v + len({_toks('bag.p')})))) AS sc
+       FROM bag LEFT JOIN lm USING (token) LEFT JOIN prb ON prb.p = bag.p AND prb.token = bag.token, tot GROUP BY bag.p, bag.t),
+sco AS (SELECT txt.p, txt.t, len({_toks('txt.p')})::BIGINT AS pk, coalesce(k, 0) AS k, round(sb, 11) AS sb, round(sb / k, 12) AS mb, round(sc, 11) AS sc, round(sc / k, 12) AS mc FROM txt LEFT JOIN ts ON ts.p = txt.p AND ts.t = txt.t),
+det AS (SELECT el.*, x.k AS kc, y.k AS kr, x.sb AS xsb, x.mb AS xmb, x.sc AS xsc, x.mc AS xmc, y.sb AS ysb, y.mb AS ymb, y.sc AS ysc, y.mc AS ymc, x.pk + greatest(x.k, y.k) AS longest,
+        CASE WHEN chosen = '' THEN 'empty_response' WHEN x.k = 0 THEN 'empty_tokenized_response' WHEN rejected = '' THEN 'empty_response' WHEN y.k = 0 THEN 'empty_tokenized_response' END AS void,
+        CASE WHEN void IS NOT NULL THEN void WHEN longest > 1024 THEN 'over_max_length' END AS why
+        FROM el JOIN sco x ON x.p = prompt AND x.t = chosen JOIN sco y ON y.p = prompt AND y.t = rejected WHERE split = 'test' AND label_margin >= 0.1),
 e0 AS (SELECT pair_id, prompt_id, split, label_confidence, label_margin, comparison_type, xmb AS pc, ymb AS pr, xsb AS sc, ysb AS sr, kc, kr, xmb - ymb AS m FROM det WHERE why IS NULL),
 e1 AS (SELECT pair_id, prompt_id, split, label_confidence, label_margin, comparison_type, xmc AS pc, ymc AS pr, xsc AS sc, ysc AS sr, kc, kr, xmc - ymc AS m FROM det WHERE why IS NULL),
 rel AS (SELECT pair_id, e0.prompt_id, e0.m > 0 AS b, e1.m > 0 AS o, (e1.m > 0)::INT::DOUBLE - (e0.m > 0)::INT::DOUBLE AS dacc, e0.m AS bm, e1.m AS om, e1.m - e0.m AS dm, e1.sc - e0.sc AS lc, e1.sr - e0.sr AS lr, 0.1::DOUBLE * ((e1.sc - e0.sc) - (e1.sr - e0.sr)) AS im FROM e0 JOIN e1 USING (pair_id)),
@@ -137,7 +139,7 @@ SELECT {k}n, unique_prompts, correct, ties, {_r('acc', 'preference_accuracy')},
 {_r('mac.a', 'prompt_macro_accuracy')}, {_r(lo, 'accuracy_wilson_lo')}, {_r(hi, 'accuracy_wilson_hi')} FROM one {join}"""
 
 
-def _bootstrap(col: str, seed: int, samples: int = 1000) -> str:
+def _bootstrap(col: str, seed: int, samples: int = 10_000) -> str:
     lo, hi = int(0.025 * (samples - 1)) + 1, int(0.975 * (samples - 1)) + 1
     return M + f"""
 , v AS (SELECT {col} AS m, row_number() OVER (ORDER BY prompt_id) - 1 AS i FROM per), p AS (SELECT count(*) AS p FROM v),
@@ -171,6 +173,8 @@ cand AS (SELECT candidate, n, CASE WHEN n % 7 = 0 THEN NULL ELSE metric END AS m
 _lo, _hi = _wilson("sum((im > 0)::INT)", "count(*)")
 _MC = "n.b + n.c"
 
+BUCKET = "CASE WHEN label_margin < 0.25 THEN '[0.10,0.25)' WHEN label_margin < 0.5 THEN '[0.25,0.50)' ELSE '[0.50,+inf)' END"
+
 SQL: dict[str, str] = {
     "judge_scores": J + f"SELECT row_no, source, judge, {_r('mean', 'mean')}, {_r('repeat_std', 'repeat_std')}, valid_attempts FROM js",
     "expected_judges": J + "SELECT row_no, coalesce(expected_judges, 0)::INT AS expected_judges FROM raw LEFT JOIN ex USING (row_no)",
@@ -200,17 +204,27 @@ SQL: dict[str, str] = {
     "train_within_length": D + f"SELECT pair_id FROM el WHERE split = 'train' AND {LENGTH} <= 150",
     "train_messages": D + "SELECT 'user: ' || prompt AS prompt, 'assistant: ' || chosen AS chosen, 'assistant: ' || rejected AS rejected FROM el WHERE split = 'train'",
     "manifest_counts": D + f"SELECT split, count(*) AS before, count(*) FILTER ({LENGTH} <= 150) AS within_length, count(*) FILTER ({LENGTH} > 150) AS dropped FROM el GROUP BY split",
-    "ngram_lm": M + f"SELECT token, {_r('b', 'baseline')}, {_r('c', 'candidate')} FROM lm",
-    "response_logprobs": M + f"SELECT t AS text, k AS token_count, {_r('sb', 'logprob_sum')}, {_r('mb', 'logprob_mean')} FROM sco",
-    "response_boundary": D + f"SELECT pair_id, CASE WHEN len({_toks('chosen')}) > 0 THEN (len({_toks('prompt')}) + 2)::INT END AS start FROM dl",
-    "pair_scores": M + f"SELECT pair_id, prompt_id, split, label_confidence, {_r('label_margin', 'label_margin')}, comparison_type, {_r('pc', 'chosen_logprob_per_token')}, {_r('pr', 'rejected_logprob_per_token')}, {_r('sc', 'chosen_logprob_sum')}, {_r('sr', 'rejected_logprob_sum')}, kc AS chosen_token_count, kr AS rejected_token_count, {_r('m', 'model_margin')}, m > 0 AS correct, abs(m) <= 1e-12 AS tie FROM e0",
-    "skip_reasons": M + "SELECT why AS skip_reason, count(*) AS n FROM det WHERE why IS NOT NULL GROUP BY why",
+    "ngram_lm": M + f"SELECT token, {_r('ln((b + 1.0::DOUBLE) / (tb + v))', 'baseline')}, {_r('ln((c + 1.0::DOUBLE) / (tc + v))', 'candidate')} FROM lm, tot",
+    "response_logprobs": M + f"SELECT d.pair_id, d.side, s.pk AS prompt_tokens, s.k AS token_count, {_r('s.sb', 'logprob_sum')}, {_r('s.mb', 'logprob_mean')}, CASE WHEN s.t = '' THEN 'empty_response' WHEN s.k = 0 THEN 'empty_tokenized_response' END AS skip_reason FROM (SELECT pair_id, prompt, 'chosen' AS side, chosen AS t FROM dl UNION ALL SELECT pair_id, prompt, 'rejected', rejected FROM dl) d JOIN sco s ON s.p = d.prompt AND s.t = d.t",
+    # tokens of the rendered conversation by their character offsets: the first that ends behind the place where the response begins
+    "response_boundary": D + """, r AS (SELECT row_number() OVER () AS i, pair_id, lower('user: ' || prompt || ' assistant: ') AS head, lower(chosen) AS tail FROM dl),
+u AS (SELECT i, unnest(regexp_extract_all(head || tail, '[a-z0-9]+|[^a-z0-9]+')) AS piece, generate_subscripts(regexp_extract_all(head || tail, '[a-z0-9]+|[^a-z0-9]+'), 1) AS pos FROM r),
+e AS (SELECT i, pos, regexp_matches(piece, '^[a-z0-9]') AS token, sum(length(piece)) OVER (PARTITION BY i ORDER BY pos) AS ends FROM u),
+k AS (SELECT e.i, count(*) FILTER (token AND ends <= length(head)) AS start, count(*) FILTER (token AND ends > length(head)) AS own FROM e JOIN r ON e.i = r.i GROUP BY e.i)
+SELECT pair_id, CASE WHEN own > 0 THEN start::INT END AS start FROM r JOIN k USING (i)""",
+    "pair_scores": M + f"""SELECT pair_id, prompt_id, split, label_confidence, {_r('label_margin', 'label_margin')}, comparison_type, {_r('xmb', 'chosen_logprob_per_token')}, {_r('ymb', 'rejected_logprob_per_token')}, {_r('xsb', 'chosen_logprob_sum')}, {_r('ysb', 'rejected_logprob_sum')}, kc AS chosen_token_count, kr AS rejected_token_count,
+{_r('CASE WHEN why IS NULL THEN xmb - ymb END', 'model_margin')}, CASE WHEN why IS NULL THEN xmb - ymb > 0 END AS correct, CASE WHEN why IS NULL THEN abs(xmb - ymb) <= 1e-12 END AS tie, why AS skip_reason FROM det
+UNION ALL SELECT pair_id || ':void', prompt_id, split, label_confidence, {_r('label_margin', 'x').removesuffix(' AS x')}, comparison_type, NULL, {_r('ymb', 'x').removesuffix(' AS x')}, NULL, {_r('ysb', 'x').removesuffix(' AS x')}, 0, kr, NULL, NULL, NULL, 'empty_response' FROM det""",
+    "skip_reasons": M + "SELECT coalesce(void, 'over_max_length') AS skip_reason, count(*) AS n FROM det WHERE void IS NOT NULL OR longest > 150 GROUP BY 1",
     "eval_overall": _metrics(None),
     "eval_by_confidence": _metrics("label_confidence"),
     "eval_by_type": _metrics("comparison_type"),
-    "eval_by_margin_bucket": _metrics("label_margin_bucket", "CASE WHEN label_margin < 0.25 THEN '[0.10,0.25)' WHEN label_margin < 0.5 THEN '[0.25,0.50)' ELSE '[0.50,+inf)' END"),
+    "eval_by_margin_bucket": _metrics("label_margin_bucket", BUCKET),
+    "eval_subgroups": " UNION ALL BY NAME ".join(f"SELECT '{k}' AS grouping, {'label' if k == 'overall' else k} AS label, * EXCLUDE ({'label' if k == 'overall' else k}) FROM ({q})" for k, q in (
+        ("overall", f"SELECT '' AS label, * FROM ({_metrics(None)})"), ("label_confidence", _metrics("label_confidence")), ("comparison_type", _metrics("comparison_type")), ("label_margin_bucket", _metrics("label_margin_bucket", BUCKET)))),
     "paired_id_audit": M + "SELECT (SELECT count(DISTINCT pair_id) FROM e0) AS n_base, (SELECT count(DISTINCT pair_id) FROM e1) AS n_other, (SELECT count(*) FROM (SELECT pair_id FROM e0 INTERSECT SELECT pair_id FROM e1)) AS n_shared",
     "token_parity_audit": M + "SELECT pair_id FROM e0 JOIN e1 USING (pair_id) WHERE e0.kc <> e1.kc OR e0.kr <> e1.kr",
+    "token_parity_violations": M + "SELECT pair_id FROM e0 WHERE label_confidence = 'high'",
     "relative_details": M + f"SELECT pair_id, prompt_id, b AS baseline_correct, o AS candidate_correct, {_r('dacc', 'absolute_accuracy_delta')}, {_r('bm', 'baseline_model_margin')}, {_r('om', 'candidate_model_margin')}, {_r('dm', 'absolute_margin_delta')}, {_r('lc', 'chosen_policy_logratio')}, {_r('lr', 'rejected_policy_logratio')}, {_r('im', 'implicit_reward_margin')}, im > 0 AS implicit_reward_correct, abs(im) <= 1e-12 AS implicit_reward_tie, abs(lc) > 1e-8 OR abs(lr) > 1e-8 AS behavior_changed FROM rel",
     "compare_primary": M + f"SELECT count(*) AS paired_n, count(DISTINCT prompt_id) AS unique_prompts, {_r('avg((im > 0)::INT)', 'implicit_reward_accuracy')}, {_r(_lo, 'implicit_reward_wilson_lo')}, {_r(_hi, 'implicit_reward_wilson_hi')}, {_r('(SELECT avg(ok) FROM per)', 'implicit_reward_prompt_macro_accuracy')}, {_r('avg(im)', 'mean_implicit_reward_margin')}, {_r('median(im)', 'median_implicit_reward_margin')}, count(*) FILTER (abs(im) <= 1e-12) AS ties FROM rel",
     "compare_secondary": M + f"SELECT {_r('avg(b::INT)', 'baseline_preference_accuracy')}, {_r('avg(o::INT)', 'candidate_preference_accuracy')}, {_r('avg(o::INT) - avg(b::INT)', 'accuracy_delta')}, {_r('(SELECT avg(b) FROM per)', 'baseline_prompt_macro_accuracy')}, {_r('(SELECT avg(o) FROM per)', 'candidate_prompt_macro_accuracy')}, {_r('(SELECT avg(dacc) FROM per)', 'prompt_macro_accuracy_delta')}, {_r('avg(bm)', 'mean_model_margin_baseline')}, {_r('avg(om)', 'mean_model_margin_candidate')}, {_r('avg(dm)', 'mean_model_margin_delta')}, count(*) FILTER (b AND NOT o) AS baseline_correct_candidate_wrong, count(*) FILTER (o AND NOT b) AS baseline_wrong_candidate_correct FROM rel",
@@ -221,12 +235,16 @@ SQL: dict[str, str] = {
     "bootstrap_accuracy": _bootstrap("ok", 42),
     "bootstrap_margin": _bootstrap("im", 43),
     "bootstrap_delta": _bootstrap("dacc", 44),
+    "io_jsonl": f"SELECT pair_id, record_id, split, prompt, chosen, rejected, {_r('label_margin', 'label_margin')}, common_successful_judges, preferred_field_agrees, coalesce(array_to_string(exclusion_reasons, ','), '') AS reasons FROM dpo_pairs",
+    "io_jsonl_keyed": "SELECT DISTINCT pair_id FROM dpo_pairs",
+    "io_csv": f"SELECT c_custkey, c_name, {_r('c_acctbal', 'c_acctbal')} FROM customer",
+    "io_parquet_by_split": ALL + "SELECT split, count(*) AS pairs, count(DISTINCT pair_id) AS ids FROM bp GROUP BY split",
     "tensor_change": f"""WITH t AS (SELECT vec_id AS param, unnest(embedding)::DOUBLE AS value, generate_subscripts(embedding, 1) - 1 AS idx FROM embeddings), u AS (SELECT param, value, CASE WHEN param % 2 = 0 THEN value + 0.001::DOUBLE * (idx % 3) ELSE value END - value AS d FROM t)
 SELECT param, count(*) AS numel, bool_and(d = 0) AS exactly_equal, count(*) FILTER (d <> 0) AS changed_elements, {_r('avg(abs(d))', 'mean_absolute_change')}, {_r('max(abs(d))', 'max_absolute_change')}, {_r('sqrt(sum(d * d))', 'l2_change')}, {_r('CASE WHEN sum(value * value) > 0 THEN sqrt(sum(d * d)) / sqrt(sum(value * value)) END', 'relative_l2_change')} FROM u GROUP BY param""",
     "tuning_rank": _CAND + "SELECT candidate, metric, margin, loss, row_number() OVER (ORDER BY metric DESC NULLS LAST, margin DESC NULLS LAST, loss ASC NULLS LAST, candidate) AS place FROM cand",
     "tuning_winner": _CAND + "SELECT candidate, n, metric, margin, loss FROM cand ORDER BY metric DESC NULLS LAST, margin DESC NULLS LAST, loss ASC NULLS LAST, candidate LIMIT 1",
     "tuning_warmup": _CAND + "SELECT candidate, n, (ceil(n / 8.0) * 2)::BIGINT AS updates, greatest(1, round_even((ceil(n / 8.0) * 2)::DOUBLE * 0.1::DOUBLE, 0)::BIGINT)::BIGINT AS warmup FROM cand",
-    "policy_fingerprint": """SELECT substring(sha256('{"min_common_judges":2,"min_confidence":0.6,"min_margin":0.1,"score_span":4.0,"seed":42,"train_share":0.7,"validation_share":0.15}'), 1, 12) AS fingerprint, count(*) AS records FROM raw""",
+    "policy_fingerprint": """SELECT substring(sha256(to_json({'min_common_judges': 2, 'min_confidence': 0.6::DOUBLE, 'min_margin': 0.1::DOUBLE, 'score_span': 4.0::DOUBLE, 'seed': 42, 'train_share': 0.7::DOUBLE, 'validation_share': 0.15::DOUBLE})::VARCHAR), 1, 12) AS fingerprint, count(*) AS records FROM raw""",
     "tuning_grid": """WITH g AS (SELECT lr.v AS learning_rate, ep.v AS epochs, be.v AS beta FROM (VALUES (1e-7::DOUBLE), (5e-7)) lr(v), (VALUES (1.0::DOUBLE), (2.0)) ep(v), (VALUES (0.05::DOUBLE), (0.1)) be(v)),
 n AS (SELECT 'c' || lpad((row_number() OVER (ORDER BY learning_rate, epochs, beta) - 1)::VARCHAR, 3, '0') AS candidate, * FROM g) SELECT * FROM n WHERE NOT (learning_rate < 2e-7 AND epochs = 1)""",
     "p3_found": NESTED + """

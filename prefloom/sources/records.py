@@ -17,10 +17,29 @@ PAIR = ("pair_id string, record_id string, prompt_id string, split string, promp
         "average_repeat_std double, common_successful_judges int, expected_judges int, raw_preferred_response string, preferred_field_agrees boolean, pair_weight double, retain boolean, exclusion_reasons array<string>")
 
 
+def _first_signs(spark: SparkSession, path: str):
+    """The first sign that is no white space of each file: a few bytes of it are read, whatever its size."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    open_ = [s for s in fs.globStatus(at) or ()]
+    while open_:
+        status = open_.pop()
+        if status.isDirectory():
+            open_ += [s for s in fs.listStatus(status.getPath()) if s.getPath().getName()[0] not in "._"]
+            continue
+        stream = fs.open(status.getPath())
+        try:
+            byte = stream.read()
+            while byte in (0x20, 0x09, 0x0A, 0x0D, 0xEF, 0xBB, 0xBF):
+                byte = stream.read()
+            yield chr(byte) if byte > 0 else ""
+        finally:
+            stream.close()
+
+
 def read_raw_json(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
     """A JSON array of records, typed, with row_no in file order. One file is one task; land the result as parquet before large work."""
-    bad = spark.read.text(path, wholetext=True).select(F.substring(F.trim("value"), 1, 1).alias("c")).where("c <> '['").limit(1)
-    if not bad.isEmpty():
+    if any(first not in ("", "[") for first in _first_signs(spark, path)):
         raise ValueError("The input must be a JSON list of records")
     df = spark.read.schema(RAW).option("multiLine", True).json(path).withColumn("row_no", F.monotonically_increasing_id())
     return df.repartition(partitions) if partitions else df

@@ -13,7 +13,7 @@ from prefloom.functions.text import assign_split, margin_bucket, normalize_promp
 from prefloom.operators import audit, nested, selection, summary, tensors, tuning
 from prefloom.operators.judges import expected_judges, judge_scores
 from prefloom.operators.pairs import Policy, build_pairs, combinations
-from prefloom.operators.scoring import UnigramScorer, batch_scorer, boundary, evaluated, response_start, score_pairs, skip_reasons
+from prefloom.operators.scoring import TokenScorer, UnigramScorer, batch_scorer, boundary, evaluated, response_start, score_pairs, skip_reasons
 from prefloom.sources import records
 
 RAW = "row_no bigint, " + records.RAW
@@ -204,21 +204,21 @@ def test_bootstrap_modes(spark):
     r = summary.bootstrap_twister(df, F.col("v"), 300).first()
     assert (r["lo"], r["hi"]) == (e[int(0.025 * 299)], e[int(0.975 * 299)])
     m = statistics.fmean(means)
-    for x in (summary.bootstrap(df, F.col("v"), 500).first(), summary.bootstrap(df, F.col("v"), 500, portable=True).first(), summary.bootstrap_poisson(df, F.col("v"), 300).first()):
+    for x in (summary.bootstrap(df, F.col("v"), 500).first(), summary.bootstrap_portable(df, F.col("v"), 500).first(), summary.bootstrap_poisson(df, F.col("v"), 300).first()):
         assert x["lo"] < m < x["hi"] and x["hi"] - x["lo"] < 0.5
     assert summary.bootstrap(df.limit(0), F.col("v"), 50).collect() == []
 
 
 def test_boundary():
     render = lambda p, r: f"<u>{p}</u><a>{r}</a>"
-    chars = lambda t: [(i, i + 1) for i in range(len(t))]
-    assert boundary("repeat answer", "answer", render, chars) == len("<u>repeat answer</u><a>")
+    chars = lambda t: (list(map(ord, t)), [(i, i + 1) for i in range(len(t))])
+    assert boundary("repeat answer", "answer", render, chars) == (len("<u>repeat answer</u><a>"), list(map(ord, "<u>repeat answer</u><a>answer</a>")))
     with pytest.raises(ValueError, match="empty_response"):
         boundary("p", "", render, chars)
     with pytest.raises(ValueError, match="marker_not_found"):
         boundary("p", "r", lambda p, r: p, chars)
     with pytest.raises(ValueError, match="empty_tokenized_response"):
-        boundary("p", "r", render, lambda t: [(0, 1)])
+        boundary("p", "r", render, lambda t: ([7], [(0, 1)]))
 
 
 def test_scoring(spark):
@@ -228,16 +228,93 @@ def test_scoring(spark):
         pairs = pairs.withColumn(c, F.lit(v))
     d = score_pairs(pairs, UnigramScorer(corpus, "t"), 10)
     got = {r["pair_id"]: r for r in d.collect()}
-    la, lb, lc, lz = (math.log(x / 7) for x in (3, 2, 2, 1))
+    la, lb, lc, lz = (math.log(x / 8) for x in (3, 2, 2, 1))  # 4 tokens, 3 words, 1 token of the prompt
     assert math.isclose(got["1"]["chosen_logprob_sum"], la + lb, abs_tol=1e-9) and math.isclose(got["1"]["model_margin"], (la + lb) / 2 - lc, abs_tol=1e-9) and got["1"]["correct"]
     assert got["4"]["tie"] and not got["4"]["correct"] and math.isclose(got["6"]["chosen_logprob_sum"], lz, abs_tol=1e-9)
     assert {r["skip_reason"]: r["n"] for r in skip_reasons(d).collect()} == {"empty_response": 1, "empty_tokenized_response": 1, "over_max_length": 1} and evaluated(d).count() == 3
-    s = batch_scorer(lambda p, r: [(-float(len(x)), len(x)) for x in r])(pairs.select("prompt", F.col("chosen").alias("response")))
-    assert s.where("response = 'a b'").first()["logprob_mean"] == -1.0
+    # a word of the prompt is likelier in the answer
+    echo = score_pairs(pairs.where("pair_id = '6'").withColumn("prompt", F.lit("zz q")), UnigramScorer(corpus, "t")).first()
+    assert math.isclose(echo["chosen_logprob_sum"], math.log(2 / 9), abs_tol=1e-9)
+    # null texts keep their row and are skipped
+    null = score_pairs(pairs.withColumn("chosen", F.when(F.col("pair_id") != "1", F.col("chosen"))).withColumn("prompt", F.when(F.col("pair_id") != "4", F.col("prompt"))), UnigramScorer(corpus, "t"))
+    assert null.count() == 6 and {r["pair_id"]: r["skip_reason"] for r in null.collect()} == {"1": "empty_response", "2": "empty_response", "3": "empty_tokenized_response", "4": None, "5": None, "6": None}
+    b = {r["pair_id"]: r for r in score_pairs(pairs, batch_scorer(lambda p, r: [(-float(len(x) * len(y)), len(x)) for x, y in zip(r, p)]), 25).collect()}
+    assert b["1"]["chosen_logprob_per_token"] == -1.0 and b["5"]["chosen_logprob_sum"] == -40.0 and b["2"]["skip_reason"] == "empty_response"
     r = pairs.select("pair_id", response_start(F.concat(F.lit("user: "), "prompt", F.lit(" assistant: ")), F.col("chosen")).alias("s")).collect()
     assert {x["pair_id"]: x["s"] for x in r}["1"] == 3 and {x["pair_id"]: x["s"] for x in r}["2"] is None
 
 
+def test_token_scorer(spark):
+    class Pieces:
+        """A tokenizer whose tokens are two characters wide, so one straddles where a response begins after an odd number; the model likes no token but x."""
+
+        def render(self, prompt, response):
+            return f"[{prompt}]{response}."
+
+        def encode(self, text):
+            return [ord(text[i]) for i in range(0, len(text), 2)], [(i, min(i + 2, len(text))) for i in range(0, len(text), 2)]
+
+        def logprobs(self, batch):
+            return [[-1.0 if i == ord("x") else -2.0 for i in ids[1:]] for ids in batch]
+
+    rows = [("1", "abc", "xyxy", "zzzz"), ("2", "ab", "xyxy", "zzzz"), ("3", "abc", "", "zz"), ("4", "abc", "x" * 40, "zz"), ("5", None, "xx", None)]
+    pairs = spark.createDataFrame([(i, "q", p, c, r, "test", "high", "t", 1.0) for i, p, c, r in rows], "pair_id string, prompt_id string, prompt string, chosen string, rejected string, split string, label_confidence string, comparison_type string, label_margin double")
+    got = {r["pair_id"]: r for r in score_pairs(pairs, TokenScorer(Pieces), 12).collect()}
+    # "[a" "bc" "]x" "yx" "y.": the token that straddles the border belongs to the response
+    assert (got["1"]["chosen_token_count"], got["1"]["chosen_logprob_sum"], got["1"]["rejected_logprob_sum"], got["1"]["model_margin"]) == (3, -6.0, -6.0, 0.0) and got["1"]["tie"]
+    # "[a" "b]" "xy" "xy" ".": here it doesn't straddle
+    assert (got["2"]["chosen_token_count"], got["2"]["chosen_logprob_sum"], got["2"]["rejected_logprob_sum"]) == (3, -4.0, -6.0) and got["2"]["correct"]
+    assert [got[k]["skip_reason"] for k in "345"] == ["empty_response", "over_max_length", "empty_response"] and len(got) == 5
+
+
+def test_medians(spark):
+    from statistics import median
+
+    rows = [("a", float(i % 7)) for i in range(50)] + [("b", 1.0)] + [("c", 2.0), ("c", 5.0), ("c", None)] + [("d", 3.0 if i % 3 else float(i)) for i in range(30_001)] + [("e", float(i * i % 30_011)) for i in range(30_000)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    got = {r["g"]: r["median"] for r in summary.medians(df, ["g"], "v").collect()}
+    assert got == {g: median(v for k, v in rows if k == g and v is not None) for g in "abcde"}
+    assert [r["median"] for r in summary.medians(df, [], "v").collect()] == [median(v for _, v in rows if v is not None)] and summary.medians(df.limit(0), [], "v").collect() == []
+
+
+def test_shared_folder(spark, monkeypatch):
+    from pathlib import Path
+
+    from prefloom.plans import lineage
+
+    kept, gone = lineage.land(spark.range(3)), lineage.land(spark.range(4).withColumn("x", F.lit(1)))
+    files = [Path(f.removeprefix("file:").replace("///", "/")) for f in gone.inputFiles()]
+    assert all(f.exists() for f in files)
+    lineage.drop(gone.select("id"))
+    assert not any(f.exists() for f in files) and kept.count() == 3
+
+    class Elsewhere:
+        class sparkContext:
+            master = "spark://host:7077"
+            getConf = staticmethod(lambda: {})
+
+            class _jsc:
+                sc = staticmethod(lambda: type("C", (), {"getCheckpointDir": staticmethod(lambda: type("O", (), {"isDefined": staticmethod(lambda: False)}))}))
+
+        conf = {}
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        lineage.shared_dir(Elsewhere)
+
+
+def test_deep_json():
+    deep = '{"a": ' * 30_000 + "[1, {}]" + "}" * 30_000
+    v = nested.parse(deep)
+    for _ in range(30_000):
+        v = v["a"]
+    assert v == [1, {}]
+    for t in ("[1,]", '{"a"}', "[1 2]", '{"a":1,}', "[true] x", "{1:2}", "[", "", "nul", '{"a":[}'):
+        with pytest.raises(ValueError):
+            nested._deep(t)
+    for t in ('{"a":[1,2.5e3,{"b":"c\\u0041"}],"d":null}', "[]", "{}", '"x"', "-1", "[[],{}]"):
+        assert nested._deep(t) == json.loads(t)
+
+
 def test_summary_empty_and_groups(spark):
     schema = "pair_id string, prompt_id string, label_confidence string, label_margin double, comparison_type string, chosen_logprob_per_token double, rejected_logprob_per_token double, model_margin double, correct boolean, tie boolean"
     df = spark.createDataFrame([("1", "p", "high", 0.2, "x", -1.0, -2.0, 1.0, True, False), ("2", "p", "high", 0.3, "x", -2.0, -2.0, 0.0, False, True), ("3", "q", "medium", 0.9, "x", -1.0, -2.0, math.nan, False, False)], schema)

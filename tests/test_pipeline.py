@@ -27,7 +27,7 @@ def raw_file(tmp_path, n=150):
 
 def test_run(spark, tmp_path):
     corpus = spark.createDataFrame([("answer a noise word answer b",)], "text string")
-    out = pipeline.run(spark, str(raw_file(tmp_path)), str(tmp_path / "run"), corpus, policy=Policy(train_share=0.6, validation_share=0.2))
+    out = pipeline.run(spark, str(raw_file(tmp_path)), str(tmp_path / "run"), corpus, policy=Policy(train_share=0.6, validation_share=0.2), split="test", allow_test=True)
     r = out["pairs"]
     assert r["records"] == r["possible_pairs"] == 150 == sum(r["pairs_by_split"].values()) and r["retained_pairs"] == sum(r["retained_by_split"].values()) > 100
     assert out["candidate"]["overall"]["preference_accuracy"] > out["baseline"]["overall"]["preference_accuracy"] and out["comparison"]["paired_n"] == out["baseline"]["overall"]["n"]
@@ -47,6 +47,16 @@ def test_run(spark, tmp_path):
         pipeline.training_view(pairs.unionByName(pairs.withColumn("split", F.lit("test"))))
 
 
+def test_locked_test_split(spark, tmp_path):
+    corpus = spark.createDataFrame([("answer a",)], "text string")
+    with pytest.raises(ValueError, match="locked"):
+        pipeline.run(spark, str(raw_file(tmp_path)), str(tmp_path / "run"), corpus, split="test")
+    pipeline.open_test(str(tmp_path / "x"), "one")
+    pipeline.open_test(str(tmp_path / "x"), "one")
+    with pytest.raises(ValueError, match="must not see"):
+        pipeline.open_test(str(tmp_path / "x"), "two")
+
+
 def test_cli(spark, tmp_path):
     t = lambda x: str(tmp_path / x)
     cli.main(["build", "--input", str(raw_file(tmp_path)), "--output", t("pairs"), "--report", t("out/report.json"), "--train-share", "0.6", "--validation-share", "0.2"], spark)
@@ -61,6 +71,8 @@ def test_cli(spark, tmp_path):
     (tmp_path / "conf" / "c.yaml").write_text("pairs_file: pairs\noutput_dir: view\nmax_train_samples: 4\n")
     cli.main(["train-view", "--config", t("conf/c.yaml")], spark)
     assert spark.read.json(t("view/train")).count() == 4
+    m = json.load(open(t("view/run_manifest.json")))
+    assert m["eligible_pairs"]["train"] == 4 < m["eligible_pairs_before_caps"]["train"] and m["test_evaluated"] is False and m["package_versions"]["pyspark"] and json.load(open(t("view/resolved_config.json")))["max_train_samples"] == 4
     w = spark.createDataFrame([("w", 0, 1.0), ("w", 1, 2.0)], "param string, idx int, value double")
     w.write.parquet(t("w0"))
     w.withColumn("value", F.col("value") + 1).write.parquet(t("w1"))
