@@ -6,8 +6,10 @@ pass over the source is met by complete epochs first (every document once per ep
 
 Total size: the largest at which every named source that has documents can give its share within its repeats, or the ``total``
 given. A source without documents can't give anything: its share is reported as not reached, and the others keep their shares among
-themselves. A source enters the selection as long as its running total stays within the budget; the document that
-crosses it is taken if that brings the total nearer to the budget.
+themselves. A source enters the selection as long as its running total stays within the budget. The document that crosses it
+doesn't end the source: those too large for what is left are passed over and the running totals formed anew, again and again; what then is left
+goes to the largest single document that fits, and last to the smallest one if that brings the total nearer. This ends when less than a
+thousandth of the budget is left or nothing fits, or after ``fills`` rounds of either kind.
 
 The running totals are taken in two levels, slices of the key range first and inside slices then, so a source that holds a third
 of all documents is sorted in many tasks. Slices are of equal probability under the distribution of keys, so none grows beyond its share.
@@ -27,7 +29,8 @@ from pyspark.sql import functions as F
 from prefloom.llm.tokens import RANKS, with_tokens
 from prefloom.plans.lineage import land
 
-SLICES = 1024
+#: Documents of a slice, on average; slices are of equal probability, and their number follows from the number of documents.
+SLICE = 20_000
 
 
 def source_name(c):
@@ -45,13 +48,17 @@ def quality():
 
 
 def keyed(documents: DataFrame, seed: int, path: str) -> DataFrame:
-    """id, source, n_tokens, k (sampling key), slice of every document with a source and tokens."""
+    """id, source, n_tokens, k (sampling key) of every document with a source and tokens."""
     d = documents.withColumn("src", source_name(F.col("source"))).withColumn("w", quality()).where("src is not null and text is not null")
     d = with_tokens(d, path=path, keep=("src", "w")).where("n_tokens > 0")
     u = (F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(2**52)) + 0.5) / F.lit(float(2**52))
     k = -F.log(u) / F.col("w")
-    # 1 - exp(-k) lies between 0 and 1 and spreads the keys; weights differ by a factor of 4 at most
-    return d.withColumn("k", k).withColumn("slice", F.least(F.lit(SLICES - 1), F.floor((1 - F.exp(-F.col("k") * 0.6)) * SLICES)).cast("int")).select("id", F.col("src").alias("source"), "n_tokens", "k", "slice")
+    return d.withColumn("k", k).select("id", F.col("src").alias("source"), "n_tokens", "k")
+
+
+def sliced(docs: DataFrame, slices: int) -> DataFrame:
+    """``docs`` with ``slice``: 1 - exp(-k) lies between 0 and 1 and spreads the keys; weights differ by a factor of 4 at most."""
+    return docs.withColumn("slice", F.least(F.lit(slices - 1), F.floor((1 - F.exp(-F.col("k") * 0.6)) * slices)).cast("int"))
 
 
 def targets(mix_targets: DataFrame) -> DataFrame:
@@ -72,17 +79,64 @@ def plan(docs: DataFrame, mix_targets: DataFrame, total: float | None) -> DataFr
     return t.withColumn("epochs", F.least(epochs, F.col("max_repeats"))).withColumn("rest", F.greatest(F.lit(0.0), F.col("budget") - F.col("epochs") * F.col("have"))).drop("share")
 
 
-def mixed(documents: DataFrame, mix_targets: DataFrame, total: float | None = None, seed: int = 42, path: str = RANKS) -> tuple[DataFrame, DataFrame]:
+def running(docs: DataFrame, keys: list[str]) -> DataFrame:
+    """``docs`` with ``upto``, the tokens up to and with each document in the order of its key: slices first, then inside a slice."""
+    slices = docs.groupBy(*keys, "slice").agg(F.sum("n_tokens").alias("t"))
+    base = slices.withColumn("base", F.coalesce(F.sum("t").over(Window.partitionBy(*keys).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select(*keys, "slice", "base")
+    own = F.sum("n_tokens").over(Window.partitionBy(*keys, "slice").orderBy("k", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return docs.withColumn("own", own).join(base, [*keys, "slice"]).withColumn("upto", F.col("base") + F.col("own")).drop("own", "base")
+
+
+def mixed(documents: DataFrame, mix_targets: DataFrame, total: float | None = None, seed: int = 42, path: str = RANKS, fills: int = 12, max_targets: int = 100_000) -> tuple[DataFrame, DataFrame]:
     """(chosen, plan): chosen has mix_name, source, id, n_tokens, repeats."""
     docs = land(keyed(documents, seed, path))
     p = land(plan(docs, mix_targets, total))
-    # running totals do not depend on the mix
-    slices = docs.groupBy("source", "slice").agg(F.sum("n_tokens").alias("t"))
-    base = slices.withColumn("base", F.coalesce(F.sum("t").over(Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("source", "slice", "base")
-    own = F.sum("n_tokens").over(Window.partitionBy("source", "slice").orderBy("k", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    run = docs.withColumn("own", own).join(base, ["source", "slice"]).withColumn("upto", F.col("base") + F.col("own"))
-    extra = (F.col("upto") <= F.col("rest")) | ((F.col("upto") - F.col("n_tokens") < F.col("rest")) & (F.col("upto") - F.col("rest") < F.col("n_tokens") / 2) & (F.col("epochs") < F.col("max_repeats")))
-    chosen = run.join(p, "source").withColumn("repeats", F.col("epochs") + F.when(extra & (F.col("rest") > 0), 1).otherwise(0)).where("repeats > 0")
+    if p.count() > max_targets:
+        raise ValueError(f"more than {max_targets} targets: too many to send to every task")
+    docs = sliced(docs, docs.count() // SLICE + 1)
+    run = running(docs, ["source"])  # does not depend on the mix
+    wide = run.join(F.broadcast(p), "source")  # of a checked size
+    within = F.col("upto") <= F.col("rest")
+    state = wide.groupBy("mix_name", "source").agg(F.coalesce(F.max(F.when(within, F.col("upto"))), F.lit(0)).alias("taken"), F.max("rest").alias("rest"), F.max(F.col("epochs") < F.col("max_repeats")).alias("free")).collect()
+    gaps = {(r["mix_name"], r["source"]): [r["rest"] - r["taken"], r["rest"]] for r in state if r["free"] and r["rest"] > 0}
+    spark = documents.sparkSession
+    key = ["mix_name", "source", "k", "id"]
+    doc, fill = [*key, "n_tokens", "slice"], "mix_name string, source string, k double, id bigint"
+    wanted = lambda: [(m, s, float(g)) for (m, s), (g, rest) in gaps.items() if g > rest / 1000]
+    with_gap = lambda rows: rows.join(F.broadcast(spark.createDataFrame(wanted(), "mix_name string, source string, gap double")), ["mix_name", "source"])
+    open_, added, n = wide.where(~within).select(*doc), None, 0
+    # past the documents that are too large for what is left, in the order of the keys
+    while wanted() and n < fills:
+        n += 1
+        fits = land(running(with_gap(open_).where("n_tokens <= gap"), ["mix_name", "source"]))
+        taken = fits.where("upto <= gap")
+        got = taken.groupBy("mix_name", "source").agg(F.sum("n_tokens").alias("t")).collect()  # a row per mix and source
+        if not got:
+            break
+        for r in got:
+            gaps[r["mix_name"], r["source"]][0] -= r["t"]
+        added = taken.select(*key) if added is None else added.unionByName(taken.select(*key))
+        open_ = fits.where("upto > gap").select(*doc)
+    # then single documents: the largest that fits, last the smallest that brings the total nearer
+    if added is not None:
+        open_ = wide.where(~within).select(*doc).join(added, key, "left_anti")
+    more: list[tuple] = []
+    for n in range(fills):
+        if not wanted():
+            break
+        one = F.struct("n_tokens", "k", "id")
+        best = with_gap(open_).join(F.broadcast(spark.createDataFrame(more, fill)), key, "left_anti").groupBy("mix_name", "source").agg(
+            F.max(F.when(F.col("n_tokens") <= F.col("gap"), one)).alias("x"), F.min(F.when(F.col("n_tokens") < 2 * F.col("gap"), one)).alias("y")).collect()  # a row per mix and source
+        for r in best:
+            x = r["x"] or r["y"]
+            if x is not None:
+                more.append((r["mix_name"], r["source"], x["k"], x["id"]))
+                gaps[r["mix_name"], r["source"]][0] -= x["n_tokens"]
+        if all(r["x"] is None for r in best):
+            break
+    extra = spark.createDataFrame(more, fill) if added is None else added.unionByName(spark.createDataFrame(more, fill))
+    filled = wide.join(extra.withColumn("filled", F.lit(1)), key, "left")
+    chosen = filled.withColumn("repeats", F.col("epochs") + F.when((within & (F.col("rest") > 0)) | F.col("filled").isNotNull(), 1).otherwise(0)).where("repeats > 0")
     return chosen.select("mix_name", "source", "id", "n_tokens", "repeats"), p
 
 

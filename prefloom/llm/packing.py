@@ -7,7 +7,8 @@ An item's size is a whole number of tokens not above the capacity, so everything
 histogram of at most ``capacity`` numbers, whatever the size of the corpus. The driver packs the histogram, moving counts
 instead of items: its result is a list of patterns (the sizes of one container and how many containers look like it), and
 their number is bounded by the number of sizes too. The items then take the places of their size by rank, in parallel: ranks are
-counted in hashed slices of each size, so a size that a third of all items share is spread over many tasks.
+counted in hashed slices of each size, as many as the commonest size needs, so a size that a third of all items share (such as
+that of the pieces of cut items) is spread over many tasks; the places, whose number is checked, go to every task and are found by binary search.
 
 Defined cases: an item larger than the container is cut into full containers and a rest, which is packed like an item; items of
 no tokens (null or empty texts) take no room and get container null; items of equal size are placed in the order of a
@@ -18,14 +19,19 @@ from __future__ import annotations
 
 import bisect
 from collections import Counter
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from prefloom.llm.tokens import RANKS, with_tokens
 from prefloom.plans.lineage import land
 
-SLICES = 256
+#: Items of a slice of one size, on average, and patterns' places that may be sent to every task (40 bytes each).
+RANK_BITS = 44
+SLICE, MAX_PLACES = 50_000, 5_000_000
 
 
 def pack_counts(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -127,10 +133,10 @@ def pieces(sized: DataFrame, capacity: int) -> DataFrame:
         "id", "piece_no", F.least(F.lit(capacity).cast("bigint"), F.col("n_tokens") - F.col("piece_no") * F.lit(capacity)).cast("int").alias("size"))
 
 
-def ranked(items: DataFrame) -> DataFrame:
+def ranked(items: DataFrame, slices: int) -> DataFrame:
     """``items`` with ``rank``, from 0, among those of equal size, counted in hashed slices."""
-    sliced = items.withColumn("slice", F.pmod(F.xxhash64("id", "piece_no"), F.lit(SLICES)).cast("int"))
-    per = sliced.groupBy("size", "slice").agg(F.count("*").alias("n"))  # at most capacity x SLICES rows
+    sliced = items.withColumn("slice", F.pmod(F.xxhash64("id", "piece_no"), F.lit(slices)).cast("int"))
+    per = sliced.groupBy("size", "slice").agg(F.count("*").alias("n"))  # at most capacity x slices rows
     base = per.withColumn("base", F.coalesce(F.sum("n").over(Window.partitionBy("size").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("size", "slice", "base")
     own = F.row_number().over(Window.partitionBy("size", "slice").orderBy(F.xxhash64("id"), "id", "piece_no")) - 1
     return sliced.withColumn("own", own).join(base, ["size", "slice"]).select("id", "piece_no", "size", (F.col("base") + F.col("own")).alias("rank"))
@@ -148,16 +154,21 @@ def pack(sized: DataFrame, capacity: int) -> DataFrame:
             places.append((s, at[s], at[s] + n * per, per, first))
             at[s] += n * per
         first += n
-    spark = sized.sparkSession
-    where = spark.createDataFrame(places, "size int, lo bigint, hi bigint, per int, first bigint")
-    # the place of a rank: the last interval of its size that begins at or before it; both sides meet in one sorted pass per size slice
-    r = ranked(items)
-    return (r.join(_ranges(where), "size").withColumn("p", F.element_at("places", F.expr("size(filter(places, x -> x.lo <= rank))")))
-            .select("id", "piece_no", "size", (F.col("p.first") + F.floor((F.col("rank") - F.col("p.lo")) / F.col("p.per"))).cast("bigint").alias("container_no")))
-
-
-def _ranges(where: DataFrame) -> DataFrame:
-    return where.groupBy("size").agg(F.sort_array(F.collect_list(F.struct("lo", "hi", "per", "first"))).alias("places"))
+    if len(places) > MAX_PLACES:
+        raise ValueError(f"more than {MAX_PLACES} places: too many to send to every task")
+    where = np.array(sorted(places), np.int64).reshape(-1, 5)
+    # size and rank as one number: the place of an item is the last that begins at or before it
+    keys = where[:, 0] << RANK_BITS | where[:, 1]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rank = b["rank"].to_numpy(np.int64)
+            at = where[np.searchsorted(keys, b["size"].to_numpy(np.int64) << RANK_BITS | rank, "right") - 1]
+            b["container_no"] = at[:, 4] + (rank - at[:, 1]) // at[:, 3]
+            yield b[["id", "piece_no", "size", "container_no"]]
+
+    r = ranked(items, max(counts.values(), default=0) // SLICE + 1)
+    return r.mapInPandas(run, "id bigint, piece_no int, size int, container_no bigint")
 
 
 def packed(documents: DataFrame, capacities: DataFrame, path: str = RANKS, max_kinds: int = 1000) -> DataFrame:
