@@ -21,6 +21,7 @@ help to fit but get no row; a null record or source is no response; an empty tab
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prefloom.plans.lineage import land
+from prefloom.plans.lineage import drop, land
 
 K = 5
 
@@ -74,30 +75,61 @@ def _log_softmax(x: np.ndarray) -> np.ndarray:
     return x - np.log(np.exp(x).sum(axis=-1, keepdims=True))
 
 
-def fit_block(item: np.ndarray, judge: np.ndarray, w: np.ndarray, n: int, sigma: np.ndarray, prior: np.ndarray, beta: float, rounds: int = 4, first: bool = False):
-    """(Q, gradient, curvature) for one batch: ``item`` and ``judge`` index the votes ``w``, sorted by item."""
+def _fit_group(judge: np.ndarray, w: np.ndarray, sigma: np.ndarray, prior: np.ndarray, beta: float, rounds: int):
+    """(q, p, value) of items that have equally many votes: ``judge`` (votes x items) and ``w`` (grade x votes x items); q is (true grade x items), p is
+    (grade x true grade x votes x items), value the dual objective of each item. Sums run over leading axes, which is where they are cheap."""
+    base = np.ascontiguousarray(sigma.astype(np.float32).transpose(2, 1, 0)[:, :, judge])
+    tau = np.zeros((K, K, judge.shape[1]), np.float32)
+    given, mass = w.sum(axis=1)[:, None, :], w.sum(axis=0)
+    log_prior = np.log(prior)[:, None]
+    for r in range(rounds):
+        z = base + tau[:, :, None, :]
+        z -= z.max(axis=0)
+        p = np.exp(z)
+        total = p.sum(axis=0)
+        p /= total
+        # log-probability of the votes under each true grade, without the logarithms of all cells
+        ll = np.einsum("kcvn,kvn->cn", z, w) - (np.log(total) * mass).sum(axis=1)
+        q = log_prior + ll
+        top = q.max(axis=0)
+        q = np.exp(q - top)
+        sums = q.sum(axis=0)
+        q /= sums
+        if r < rounds - 1:
+            q4 = q.astype(np.float32)
+            expected = p.sum(axis=2)
+            curved = expected - np.einsum("kcvn,kcvn->kcn", p, p)
+            tau += (q4 * (given - expected) - beta * tau) / (beta + q4 * curved)
+    return q, p, top + np.log(sums) - beta / 2 * (tau.astype(float) ** 2).sum(axis=(0, 1))
+
+
+def fit_block(item: np.ndarray, judge: np.ndarray, w: np.ndarray, n: int, sigma: np.ndarray, prior: np.ndarray, beta: float, rounds: int = 4, first: bool = False, weight: np.ndarray | None = None):
+    """(Q, gradient, curvature, value) for one batch: ``item`` and ``judge`` index the votes ``w``, sorted by item; an item counts ``weight`` times. The
+    value is the items' part of the dual objective at the given sigma. Items with equally many votes are fitted together."""
+    q, g, h, value = np.tile(prior, (n, 1)), np.zeros_like(sigma), np.zeros_like(sigma), 0.0
+    weight = np.ones(n) if weight is None else weight
     starts = np.flatnonzero(np.r_[True, item[1:] != item[:-1]]) if len(item) else np.zeros(0, int)
-    add = lambda x: np.add.reduceat(x, starts, axis=0)
-    if first:  # start: the votes themselves, smoothed
-        q = add(w) + 0.2
-        q /= q.sum(axis=1, keepdims=True)
-        p = np.full((len(item), K, K), 1 / K)
-    else:
-        tau = np.zeros((n, K, K))
-        for r in range(rounds):
-            lp = _log_softmax(sigma[judge] + tau[item])
-            p = np.exp(lp)
-            q = np.log(prior) + add(np.einsum("ok,ock->oc", w, lp))
-            q = np.exp(_log_softmax(q))
-            if r < rounds - 1:
-                grad = q[:, :, None] * add(w[:, None, :] - p) - beta * tau
-                tau = tau + grad / (beta + q[:, :, None] * add(p * (1 - p)))
-    qo = q[item][:, :, None]
-    g = np.zeros_like(sigma)
-    h = np.zeros_like(sigma)
-    np.add.at(g, judge, qo * (w[:, None, :] - p))
-    np.add.at(h, judge, qo * (p * (1 - p)))
-    return q, g, h
+    sizes = np.diff(np.r_[starts, len(item)])
+    for v in np.unique(sizes):
+        at = starts[sizes == v]
+        who = item[at]
+        votes = at[None, :] + np.arange(v)[:, None]
+        ww = np.ascontiguousarray(w[votes].transpose(2, 0, 1), np.float32)
+        if first:  # start: the votes themselves, smoothed
+            qs = ww.sum(axis=1).astype(float) + 0.2
+            qs /= qs.sum(axis=0)
+            p = np.full((K, K, *votes.shape), 1 / K, np.float32)
+        else:
+            qs, p, each = _fit_group(judge[votes], ww, sigma, prior, beta, rounds)
+            value += float((weight[who] * each).sum())
+        q[who] = qs.T
+        qw = (qs * weight[who]).astype(np.float32)[None, :, None, :]
+        jv = judge[votes].ravel()
+        order = np.argsort(jv, kind="stable")
+        edge = np.flatnonzero(np.r_[True, jv[order][1:] != jv[order][:-1]])
+        for out, x in ((g, qw * (ww[:, None] - p)), (h, qw * (p * (1 - p)))):
+            out[jv[order][edge]] += np.add.reduceat(x.reshape(K, K, -1)[:, :, order], edge, axis=2, dtype=float).transpose(2, 1, 0)
+    return q, g, h, value
 
 
 def _flat(b: pd.DataFrame, index: dict[str, int]):
@@ -111,53 +143,82 @@ def _pass(judges: list[str], sigma: np.ndarray, prior: np.ndarray, beta: float,
     index = {x: i for i, x in enumerate(judges)}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        g, h, m = np.zeros_like(sigma), np.zeros_like(sigma), np.zeros(K)
+        g, h, m, value = np.zeros_like(sigma), np.zeros_like(sigma), np.zeros(K), 0.0
         for b in batches:
             if len(b):
-                q, dg, dh = fit_block(*_flat(b, index), len(b), sigma, prior, beta, first=first)
+                weight = b["n"].to_numpy(float)
+                q, dg, dh, dv = fit_block(*_flat(b, index), len(b), sigma, prior, beta, first=first, weight=weight)
                 g += dg
                 h += dh
-                m += q.sum(axis=0)
+                m += (q * weight[:, None]).sum(axis=0)
+                value += dv
         cell = np.arange(g.size)
-        yield pd.DataFrame({"cell": np.r_[cell, -1 - np.arange(K)], "g": np.r_[g.ravel(), m], "h": np.r_[h.ravel(), np.zeros(K)]})
+        yield pd.DataFrame({"cell": np.r_[cell, -1 - np.arange(K + 1)], "g": np.r_[g.ravel(), m, value], "h": np.r_[h.ravel(), np.zeros(K + 1)]})
 
     return run
 
 
 class Fit:
-    """Judges with their parameters ``sigma`` and the distribution ``prior`` of grades."""
+    """Judges with their parameters ``sigma`` and the distribution ``prior`` of grades; ``dual`` has the objective before each pass, ``moved`` the
+    largest step of the last, and ``converged`` says whether that fell below the tolerance."""
 
-    def __init__(self, judges: list[str], sigma: np.ndarray, prior: np.ndarray, beta: float, passes: int):
-        self.judges, self.sigma, self.prior, self.beta, self.passes = judges, sigma, prior, beta, passes
+    def __init__(self, judges: list[str], sigma: np.ndarray, prior: np.ndarray, beta: float, passes: int, dual: list[float], moved: float, converged: bool):
+        self.judges, self.sigma, self.prior, self.beta, self.passes, self.dual, self.moved, self.converged = judges, sigma, prior, beta, passes, dual, moved, converged
 
     def confusion(self) -> np.ndarray:
         """P(given grade | true grade) per judge, for a response without a tilt of its own."""
         return np.exp(_log_softmax(self.sigma))
 
 
-def fit(packed: DataFrame, alpha: float = 1.0, beta: float = 4.0, passes: int = 15, tol: float = 0.02, max_judges: int = 20_000) -> Fit:
-    """Alternate posteriors and judge parameters over ``packed`` (see ``responses``), which should be landed."""
+def fit(packed: DataFrame, alpha: float = 1.0, beta: float = 4.0, passes: int = 60, tol: float = 0.02, max_judges: int = 20_000) -> Fit:
+    """Alternate posteriors and judge parameters over ``packed`` (see ``responses``), which should be landed, until no parameter moves by ``tol``.
+
+    Responses with the same votes of the same judges are one pattern with a weight, so a pass costs as much as there are different patterns.
+    The dual objective is tracked: where a block step lowers it, the step is taken back by half until it doesn't. A fit that has not
+    converged after ``passes`` passes says so with a warning and in ``converged``.
+    """
     rows = packed.select(F.explode("judges").alias("j")).distinct().orderBy("j").limit(max_judges + 1).collect()
     if len(rows) > max_judges:
         raise ValueError(f"more than {max_judges} judges: their parameters would not fit the driver")
     judges = [r["j"] for r in rows]
     sigma, prior = np.zeros((len(judges), K, K)), np.full(K, 1 / K)
     if not judges:
-        return Fit(judges, sigma, prior, beta, 0)
-    for n in range(passes):
-        sums = (packed.select("judges", "scores").mapInPandas(_pass(judges, sigma, prior, beta, n == 0), "cell int, g double, h double")
-                .groupBy("cell").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect())  # judges x 25 + 5 rows
-        g, h, m = np.zeros(sigma.size), np.zeros(sigma.size), np.ones(K)
-        for r in sums:
-            if r["cell"] < 0:
-                m[-1 - r["cell"]] += r["g"]
-            else:
+        return Fit(judges, sigma, prior, beta, 0, [], 0.0, True)
+    patterns = land(packed.groupBy("judges", "scores").agg(F.count("*").alias("n")))
+
+    def sums(sigma: np.ndarray, prior: np.ndarray, first: bool):
+        got = patterns.mapInPandas(_pass(judges, sigma, prior, beta, first), "cell int, g double, h double").groupBy("cell").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect()  # judges x 25 + 6 rows
+        g, h, m, value = np.zeros(sigma.size), np.zeros(sigma.size), np.ones(K), -alpha / 2 * float((sigma**2).sum())
+        for r in got:
+            if r["cell"] >= 0:
                 g[r["cell"]], h[r["cell"]] = r["g"], r["h"]
-        step = (g.reshape(sigma.shape) - alpha * sigma) / (h.reshape(sigma.shape) + alpha)
-        sigma, prior = sigma + np.clip(step, -2, 2), m / m.sum()
-        if np.abs(step).max() < tol:
+            elif r["cell"] == -1 - K:
+                value += r["g"]
+            else:
+                m[-1 - r["cell"]] += r["g"]
+        return g.reshape(sigma.shape), h.reshape(sigma.shape), m, value
+
+    dual, step, moved, n = [], None, np.inf, 0
+    g, h, m, value = sums(sigma, prior, True)
+    while n < passes:
+        n += 1
+        step = np.clip((g - alpha * sigma) / (h + alpha), -2, 2)
+        sigma, prior = sigma + step, m / m.sum()
+        moved = float(np.abs(step).max())
+        if moved < tol:
             break
-    return Fit(judges, sigma, prior, beta, n + 1)
+        g, h, m, value = sums(sigma, prior, False)
+        while dual and value < dual[-1] - 1e-6 * abs(dual[-1]) and np.abs(step).max() > tol / 8 and n < passes:
+            n += 1
+            step = step / 2
+            sigma = sigma - step
+            g, h, m, value = sums(sigma, prior, False)
+        dual.append(value)
+    converged = moved < tol
+    if not converged:
+        warnings.warn(f"the fit has not converged after {passes} passes: a parameter still moved by {moved:.3f}", stacklevel=2)
+    drop(patterns)
+    return Fit(judges, sigma, prior, beta, n, dual, moved, converged)
 
 
 def _agreement(item: np.ndarray, w: np.ndarray, n: int) -> np.ndarray:
