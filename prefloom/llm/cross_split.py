@@ -39,6 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from prefloom.functions.rows import beside
 from prefloom.llm.grouped_splits import components, split_name
 from prefloom.llm.text import words
 from prefloom.plans.lineage import land
@@ -307,6 +308,23 @@ def _sorted_letters(ws):
     return F.transform(ws, lambda w: F.array_join(F.sort_array(F.split(w, "")), ""))
 
 
+#: Bits of the map of keys: 512 kB, whatever the number of keys. Full or not, a key that is in it is never taken for absent.
+BITS = 1 << 22
+
+
+def _bitmap(keys: DataFrame) -> DataFrame:
+    """One row with the map of the column ``key`` as an array of BITS / 64 numbers."""
+    bit = F.pmod("key", F.lit(BITS))
+    words = np.zeros(BITS // 64, np.int64)
+    for r in keys.select((bit / 64).cast("int").alias("word"), F.expr(f"shiftleft(1L, cast(pmod(key, {BITS}) % 64 as int))").alias("b")).groupBy("word").agg(F.bit_or("b").alias("b")).collect():  # at most BITS / 64 rows
+        words[r["word"]] = r["b"]
+    return keys.sparkSession.createDataFrame([(words.tolist(),)], "bits array<bigint>")
+
+
+#: Whether the bit of ``key`` is set; in compiled code the array is never copied.
+_MARKED = f"shiftright(get(bits, cast(pmod(key, {BITS}) div 64 as int)), cast(pmod(key, {BITS}) % 64 as int)) & 1 = 1"
+
+
 def _beyond_neighbours(texts: DataFrame, array: DataFrame, span: int, least: float) -> DataFrame:
     """a, b: the texts of two splits that may pass the check wherever they stand in the array, joined on what the check asks for.
 
@@ -316,10 +334,13 @@ def _beyond_neighbours(texts: DataFrame, array: DataFrame, span: int, least: flo
     maps of words that differ too much go inside the join, which AQE can split.
     """
     cols = ["tid", "size", "lo", "hi", "train", "held"]
-    ws = _sorted_letters(F.split("norm", " "))
-    grams = texts.where("size > 1").select(*cols, ws.alias("w")).select(*cols, F.explode(F.array_distinct(F.zip_with(F.expr("slice(w, 1, size - 1)"), F.expr("slice(w, 2, size - 1)"), lambda x, y: F.xxhash64(x, y)))).alias("key"))
     named = (texts.where("names <> ''").select(*cols, F.explode(F.split("names", r"\|")).alias("name")).select(*cols, _sorted_letters(F.split("name", " ")).alias("w"))
              .select(*cols, F.xxhash64(F.col("w")[0], F.col("w")[1]).alias("key")).distinct())
+    # adjacent words that no text shows as a name stay at home
+    ws = _sorted_letters(F.split("norm", " "))
+    keys = F.array_distinct(F.zip_with(F.expr("slice(w, 1, size - 1)"), F.expr("slice(w, 2, size - 1)"), lambda x, y: F.xxhash64(x, y)))
+    every = texts.where("size > 1").select(*cols, ws.alias("w")).select(*cols, F.explode(keys).alias("key"))
+    grams = beside(every, _bitmap(named.select("key").distinct())).where(_MARKED).select(*cols, "key")
     starts = array.where("plain").select(*cols, F.xxhash64(F.substring_index("suffix", " ", span)).alias("key")).distinct()
 
     def met(x: DataFrame, y: DataFrame) -> DataFrame:
